@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestry.functions.text import hyphened, words
-from attestry.llm import mixing, packing, terms, tokens
+from attestry.llm import mixing, neardup, packing, terms, tokens
 from attestry.scratch import Scratch
 from attestry.tables import latest, table
 
@@ -32,3 +32,14 @@ def mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(rates, sizes): sizes are written once, as both the rates and the mix need them."""
     sizes = Scratch(spark, "mixing").write(document_sizes(spark, sf_dir, ["doc_id", "source"]), "sizes")
     return mixing.rates(sizes, table(spark, sf_dir, "mix_targets")), sizes
+
+
+def question_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, text) of the questions of both tables, as they hold."""
+    q = latest(table(spark, sf_dir, "questions"), "id", ["question"]).select("id", F.col("question").alias("text"))
+    c = latest(table(spark, sf_dir, "checkpoint_items"), "itemId", ["question"]).select(F.col("itemId").alias("id"), F.col("question").alias("text"))
+    return q.unionByName(c)
+
+
+def near_duplicates(spark: SparkSession, sf_dir: str) -> neardup.NearDuplicates:
+    return neardup.NearDuplicates(question_texts(spark, sf_dir))

@@ -7,6 +7,14 @@ from pyspark.sql import functions as F
 from attestry.llm import knowledge, mixing, packing, sql
 
 
+def p3_found(spark, sf_dir):
+    return knowledge.near_duplicates(spark, sf_dir).record_pairs()
+
+
+def p3_groups(spark, sf_dir):
+    return knowledge.near_duplicates(spark, sf_dir).groups()
+
+
 def p5_found(spark, sf_dir):
     return knowledge.term_counts(spark, sf_dir, 1).where("mark is not null").select("field", F.col("ngram").alias("term"), "mark")
 
@@ -46,6 +54,8 @@ def p8_report(spark, sf_dir):
 
 
 QUERIES = {
+    "p3_found": (p3_found, sql.P3_FOUND),
+    "p3_groups": (p3_groups, None),
     "p5_found": (p5_found, sql.P5_FOUND),
     "p5_terms": (p5_terms, sql.P5_TERMS),
     "p5_ngrams": (p5_ngrams, sql.P5_NGRAMS),

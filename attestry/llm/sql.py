@@ -27,3 +27,9 @@ P5_NGRAMS = rf"""WITH w AS (SELECT id, regexp_extract_all(lower(criterion), '[\p
 g AS (SELECT id, i, k, list_aggregate(a[i:i + k - 1], 'string_agg', ' ') ngram FROM
   (SELECT id, a, unnest(generate_series(1::BIGINT, len(a))) i FROM w), generate_series(1::BIGINT, 5::BIGINT) s(k) WHERE i + k - 1 <= len(a))
 SELECT 'criterion' field, ngram, k n, count(*) occurrences, count(DISTINCT id) records FROM g GROUP BY ngram, k"""
+
+_WORDS = rf"""w AS (SELECT id, list_distinct(regexp_extract_all(lower(t), '[\p{{L}}\p{{N}}]+')) a FROM (
+  SELECT id, question t FROM {held('questions')} UNION ALL SELECT itemId, question FROM {held('checkpoint_items', 'itemId')}))"""
+P3_FOUND = f"""WITH {_WORDS}
+SELECT DISTINCT x.id id_a, y.id id_b FROM w x JOIN w y ON x.id < y.id AND len(x.a) > 0 AND len(y.a) >= 0.7 * len(x.a) AND len(x.a) >= 0.7 * len(y.a)
+  AND len(list_intersect(x.a, y.a)) * 17 >= 7 * (len(x.a) + len(y.a))"""
