@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestry.functions.text import hyphened, words
-from attestry.llm import mixing, neardup, packing, terms, tokens
+from attestry.llm import mixing, neardup, packing, sampling, terms, tokens
 from attestry.scratch import Scratch
 from attestry.tables import latest, table
 
@@ -43,3 +43,8 @@ def question_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, sf_dir: str) -> neardup.NearDuplicates:
     return neardup.NearDuplicates(question_texts(spark, sf_dir))
+
+
+def balanced_sample(spark: SparkSession, sf_dir: str) -> sampling.BalancedSample:
+    q = latest(table(spark, sf_dir, "questions"), "id", ["sourceId", "category"])
+    return sampling.BalancedSample(q, table(spark, sf_dir, "category_targets"))

@@ -7,6 +7,18 @@ from pyspark.sql import functions as F
 from attestry.llm import knowledge, mixing, packing, sql
 
 
+def p1_found(spark, sf_dir):
+    return knowledge.balanced_sample(spark, sf_dir).report.where("short").select("source_id", "category")
+
+
+def p1_sample(spark, sf_dir):
+    return knowledge.balanced_sample(spark, sf_dir).sample
+
+
+def p1_report(spark, sf_dir):
+    return knowledge.balanced_sample(spark, sf_dir).report
+
+
 def p3_found(spark, sf_dir):
     return knowledge.near_duplicates(spark, sf_dir).record_pairs()
 
@@ -54,6 +66,9 @@ def p8_report(spark, sf_dir):
 
 
 QUERIES = {
+    "p1_found": (p1_found, sql.P1_FOUND),
+    "p1_sample": (p1_sample, None),
+    "p1_report": (p1_report, None),
     "p3_found": (p3_found, sql.P3_FOUND),
     "p3_groups": (p3_groups, None),
     "p5_found": (p5_found, sql.P5_FOUND),

@@ -33,3 +33,9 @@ _WORDS = rf"""w AS (SELECT id, list_distinct(regexp_extract_all(lower(t), '[\p{{
 P3_FOUND = f"""WITH {_WORDS}
 SELECT DISTINCT x.id id_a, y.id id_b FROM w x JOIN w y ON x.id < y.id AND len(x.a) > 0 AND len(y.a) >= 0.7 * len(x.a) AND len(x.a) >= 0.7 * len(y.a)
   AND len(list_intersect(x.a, y.a)) * 17 >= 7 * (len(x.a) + len(y.a))"""
+
+P1_FOUND = f"""WITH q AS (SELECT id, {norm('sourceId')} s, {hyphened('category')} c FROM {held('questions')}),
+s AS (SELECT DISTINCT s FROM q WHERE s IS NOT NULL),
+n AS (SELECT s, c, count(DISTINCT id) n FROM q GROUP BY 1, 2)
+SELECT s.s source_id, t.category FROM s CROSS JOIN category_targets t LEFT JOIN n ON n.s = s.s AND n.c = t.category
+WHERE coalesce(n.n, 0) < greatest(t.min_keep, round(t.target_share * 25))"""
