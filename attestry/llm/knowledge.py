@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestry.functions.text import hyphened, words
-from attestry.llm import mixing, neardup, packing, sampling, terms, tokens
+from attestry.llm import mixing, neardup, packing, pairs, sampling, terms, tokens
 from attestry.scratch import Scratch
 from attestry.tables import latest, table
 
@@ -48,3 +48,14 @@ def near_duplicates(spark: SparkSession, sf_dir: str) -> neardup.NearDuplicates:
 def balanced_sample(spark: SparkSession, sf_dir: str) -> sampling.BalancedSample:
     q = latest(table(spark, sf_dir, "questions"), "id", ["sourceId", "category"])
     return sampling.BalancedSample(q, table(spark, sf_dir, "category_targets"))
+
+
+def answered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, question, answer) of both tables, as they hold."""
+    q = latest(table(spark, sf_dir, "questions"), "id", ["question", "expected"]).select("id", "question", F.col("expected").alias("answer"))
+    c = latest(table(spark, sf_dir, "checkpoint_items"), "itemId", ["question", "answer"]).select(F.col("itemId").alias("id"), "question", "answer")
+    return q.unionByName(c)
+
+
+def broken_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.defects(answered(spark, sf_dir))

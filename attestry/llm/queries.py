@@ -39,6 +39,14 @@ def p5_ngrams(spark, sf_dir):
     return knowledge.term_counts(spark, sf_dir, 5).where("field = 'criterion'").select("field", "ngram", "n", "occurrences", "records")
 
 
+def p6_found(spark, sf_dir):
+    return knowledge.broken_pairs(spark, sf_dir)
+
+
+def p6_by_kind(spark, sf_dir):
+    return knowledge.broken_pairs(spark, sf_dir).groupBy("defect").agg(F.count(F.lit(1)).alias("n_pairs"))
+
+
 def p7_found(spark, sf_dir):
     return knowledge.packed_documents(spark, sf_dir).where("n_pieces > 1").select("doc_id").distinct()
 
@@ -74,6 +82,8 @@ QUERIES = {
     "p5_found": (p5_found, sql.P5_FOUND),
     "p5_terms": (p5_terms, sql.P5_TERMS),
     "p5_ngrams": (p5_ngrams, sql.P5_NGRAMS),
+    "p6_found": (p6_found, None),
+    "p6_by_kind": (p6_by_kind, None),
     "p7_found": (p7_found, None),
     "p7_packed": (p7_packed, None),
     "p7_fill": (p7_fill, None),
