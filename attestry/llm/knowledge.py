@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestry.functions.text import hyphened, words
-from attestry.llm import mixing, neardup, packing, pairs, sampling, terms, tokens
+from attestry.llm import mixing, neardup, packing, pairs, residue, sampling, terms, tokens
 from attestry.scratch import Scratch
 from attestry.tables import latest, table
 
@@ -59,3 +59,7 @@ def answered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def broken_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.defects(answered(spark, sf_dir))
+
+
+def residual_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.residue(table(spark, sf_dir, "documents"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from attestry.llm import knowledge, mixing, packing, sql
+from attestry.tables import table
 
 
 def p1_found(spark, sf_dir):
@@ -73,6 +74,15 @@ def p8_report(spark, sf_dir):
     return mixing.report(rate, mixing.mixed(sizes, rate))
 
 
+def p9_found(spark, sf_dir):
+    return knowledge.residual_documents(spark, sf_dir).select("doc_id").distinct()
+
+
+def p9_kept(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.join(knowledge.residual_documents(spark, sf_dir).select("doc_id"), "doc_id", "left_anti").select("doc_id", "source", "n_chars")
+
+
 QUERIES = {
     "p1_found": (p1_found, sql.P1_FOUND),
     "p1_sample": (p1_sample, None),
@@ -90,4 +100,6 @@ QUERIES = {
     "p8_found": (p8_found, None),
     "p8_mix": (p8_mix, None),
     "p8_report": (p8_report, None),
+    "p9_found": (p9_found, None),
+    "p9_kept": (p9_kept, None),
 }
