@@ -11,6 +11,7 @@ import atexit
 import gc
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,7 +43,7 @@ class Scratch:
     def write(self, df: DataFrame, table: str, by: list[str] | None = None) -> DataFrame:
         """Write ``df`` and return a reader of what was written, with the same schema."""
         path = f"{self.base}/{table}"
-        writer = df.write.mode("overwrite")
+        writer = df.write.mode("overwrite").option("compression", "zstd")
         (writer.partitionBy(*by) if by else writer).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
@@ -53,6 +54,11 @@ class Scratch:
         path.getFileSystem(conf).delete(path, True)
 
     def release(self) -> None:
-        """Let Spark's cleaner remove the shuffle files of steps whose result has been written."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+        """Let Spark's cleaner remove the shuffle files of steps whose result has been written.
+
+        Python's and then the JVM's handles on a plan must go before its shuffles do, hence twice.
+        """
+        for _ in range(2):
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(0.25)
