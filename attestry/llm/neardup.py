@@ -96,8 +96,9 @@ def _indexer(counts: np.ndarray, total: int, p: int, q: int, postings: float):
                     skips += s
                     owner += [r] * len(k)
             o = np.array(owner, dtype=np.int64)
-            yield pd.DataFrame({"key": np.array(keys, dtype=np.uint64).view(np.int64), "cid": b["cid"].to_numpy()[o], "sketch": sketch.view(np.int64)[o],
-                                "n": lens[o].astype(np.int32), "s": np.array(skips, dtype=np.int32)})
+            # Narrow rows: they are what is shuffled. A key that stands for two runs only costs a look.
+            yield pd.DataFrame({"key": (np.array(keys, dtype=np.uint64) >> np.uint64(16)).astype(np.int64), "cid": b["cid"].to_numpy()[o],
+                                "sketch": sketch.view(np.int64)[o], "n": lens[o].astype(np.int32), "s": np.array(skips, dtype=np.int32)})
 
     return index
 
@@ -122,7 +123,11 @@ class NearDuplicates:
         self.classes = classes = s.write(held.select("wset").distinct().withColumn("cid", F.monotonically_increasing_id()), "classes")
         s.release()
         print_of = F.unhex(F.md5("wset"))
-        self.members = held.select("id", print_of.alias("f")).distinct().join(classes.select("cid", print_of.alias("f")), "f").select("id", "cid")
+        members = held.select("id", print_of.alias("f")).distinct().join(classes.select("cid", print_of.alias("f")), "f")
+        self.members = s.write(members.select("id", "cid"), "members")
+        del held, members
+        s.drop("records")
+        s.release()
         hashes = F.transform(F.split("wset", " "), lambda w: F.xxhash64(w))
         hashed = classes.select("cid", hashes.alias("h"))
         per_slot = hashed.select(F.explode("h").alias("h")).groupBy(F.col("h").bitwiseAND(SLOTS - 1).alias("slot")).count()
@@ -138,6 +143,7 @@ class NearDuplicates:
         tally = F.expr(f"a_cid < b_cid and bit_count(a_sketch ^ b_sketch) <= a_n + b_n - 2 * {o} and a_s <= a_n - {o} and b_s <= b_n - {o}")
         near = a.join(b, (a.key == b.key) & tally).select("a_cid", "b_cid").distinct()
         near = s.write(near, "candidates")
+        del index, a, b
         s.release()
         left = classes.select(F.col("cid").alias("a_cid"), F.split("wset", " ").alias("a_w"))
         right = classes.select(F.col("cid").alias("b_cid"), F.split("wset", " ").alias("b_w"))
