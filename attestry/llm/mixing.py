@@ -41,7 +41,8 @@ def mixed(sizes: DataFrame, rate: DataFrame, item: str = "doc_id", source: str =
     part = F.pmod(F.xxhash64(F.lit(seed), F.col(item)), F.lit(1 << 40)) / float(1 << 40)
     r = rate.select(F.col("key").alias("_k"), "rate", F.col("source").alias("_s"))
     times = F.floor("rate") + F.when(part < F.col("rate") - F.floor("rate"), 1).otherwise(0)
-    j = sizes.join(r, label(source) == F.col("_k")).withColumn("_n", times).where("_n > 0")
+    own = sizes.select(item, F.col(source).alias("_src"), size)
+    j = own.join(r, label("_src") == F.col("_k")).withColumn("_n", times).where("_n > 0")
     return j.select(item, F.col("_s").alias("source"), size, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))).alias("copy"))
 
 
