@@ -36,7 +36,10 @@ def _tag(word: Column) -> Column:
     return F.when(word.rlike(r"^-?(?:[0-9]+\.?[0-9]*|\.[0-9]+)$"), F.concat(F.lit("n:"), word)).otherwise(F.concat(F.lit("a:"), word))
 
 
-@F.pandas_udf("struct<pred string, args array<string>, expr_key string>")
+_READ = T.StructType([T.StructField("pred", T.StringType()), T.StructField("args", T.ArrayType(T.StringType())), T.StructField("expr_key", T.StringType())])
+
+
+@F.pandas_udf(_READ)
 def _read(text: pd.Series) -> pd.DataFrame:
     rows = []
     for t in text:

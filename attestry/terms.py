@@ -69,6 +69,8 @@ class _Reader:
         if kind == "string":
             return Term("string", json.loads(text))
         if kind == "plain":
+            if text.startswith('"'):
+                raise TermError(f"{text} is never closed")
             if text.startswith("?"):
                 return Term("variable", text[1:])
             return Term("number", float(text)) if _NUMBER.fullmatch(text) else Term("atom", text)
