@@ -72,7 +72,7 @@ def communities(edges: DataFrame, rounds: int = 20, small: int = 50_000) -> Data
     """(entity, community): modularity moves on the driver for graphs of at most ``small`` edges, else weighted label propagation.
 
     The size is counted before anything is collected.  Propagation moves a node to the label with most
-    weight among its neighbours and itself, ties to the smaller; odd and even nodes (by hash) move in turn, so two don't swap forever.
+    weight among its neighbours, ties to the smaller; each round about half of the nodes, chosen by a hash, may move, so two don't swap forever.
     """
     spark = edges.sparkSession
     if edges.limit(small + 1).count() <= small:
@@ -85,12 +85,12 @@ def communities(edges: DataFrame, rounds: int = 20, small: int = 50_000) -> Data
     for i in range(1, rounds + 1):
         pull = both.join(labels.select(F.col("entity").alias("b"), "community"), "b").groupBy("a", "community").agg(F.sum("weight").alias("w"))
         best = pull.groupBy("a").agg(F.min_by("community", F.struct(-F.col("w"), "community")).alias("to"))
-        turn = F.pmod(F.xxhash64("entity"), F.lit(2)) == i % 2
+        turn = F.pmod(F.xxhash64("entity", F.lit(i)), F.lit(2)) == 0
         new = labels.join(best.withColumnRenamed("a", "entity"), "entity", "left")
-        new = new.select("entity", F.when(turn, F.coalesce("to", "community")).otherwise(F.col("community")).alias("community"), (turn & (F.col("to") != F.col("community"))).alias("moved"))
+        new = new.select("entity", F.when(turn, F.coalesce("to", "community")).otherwise(F.col("community")).alias("community"), (F.col("to") != F.col("community")).alias("wants"))
         new = scratch.write(new, f"labels_{i}")
-        labels = new.drop("moved")
-        if i > 1 and not new.where("moved").limit(1).count():
+        labels = new.drop("wants")
+        if not new.where("wants").limit(1).count():
             break
     return labels
 

@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _PARAGRAPH = re.compile(r"\S(?:.|\n)*?(?=\n\s*\n|\s*\Z)")
 
@@ -17,7 +18,7 @@ def grouped(regions: DataFrame, most_chars: int = 18_000, most_rows: int | None
     A region longer than the limit stands alone.  The fold over lengths streams through each partition
     sorted by source, so a source of any size needs no memory beyond one batch.
     """
-    schema = regions.schema.add("chunk", "long")
+    schema = T.StructType([*regions.schema.fields, T.StructField("chunk", T.LongType())])
 
     def fold(batches):
         now, chunk, chars, rows = None, 0, 0, 0
