@@ -13,6 +13,7 @@ import math
 from bisect import bisect_right
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -168,18 +169,16 @@ def packed(sizes: DataFrame, item: str = "doc_id", size: str = "n_tokens", capac
 
     def place(batches):
         for b in batches:
-            out = np.empty(len(b), dtype=np.int64)
+            out = np.empty(b.num_rows, dtype=np.int64)
             lens, ranks = b["len"].to_numpy(), b["r"].to_numpy()
             for s in np.unique(lens):
                 start, first, k = where[int(s)]
                 m = lens == s
                 i = np.searchsorted(start, ranks[m], side="right") - 1
                 out[m] = first[i] + (ranks[m] - start[i]) // k[i]
-            r = b[["item", "piece", "n_pieces"]].copy()
-            r["piece_tokens"], r["container"] = lens, out
-            yield r
+            yield pa.RecordBatch.from_arrays([b["item"], b["piece"], b["n_pieces"], b["len"], pa.array(out)], ["item", "piece", "n_pieces", "piece_tokens", "container"])
 
-    placed = ranked.select("item", "piece", "n_pieces", "len", "r").mapInPandas(place, schema)
+    placed = ranked.select("item", "piece", "n_pieces", "len", F.col("r").cast("long").alias("r")).mapInArrow(place, schema)
     none = parts.where("len = 0").select("item", "piece", "n_pieces", F.col("len").alias("piece_tokens"), F.lit(None).cast("long").alias("container"))
     return placed.unionByName(none).withColumnRenamed("item", item)
 

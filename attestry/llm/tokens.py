@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -32,10 +33,9 @@ def sized(df: DataFrame, text: str, keep: list[str], ranks: str = RANKS, pattern
     def count(batches):
         encode = encoder(ranks, pattern).encode_ordinary
         for b in batches:
-            r = b[keep].copy()
-            r[out] = [len(encode(t)) if t else 0 for t in b[text]]
-            yield r
+            n = pa.array([len(encode(t)) if t else 0 for t in b[text].to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([*[b[c] for c in keep], n], [*keep, out])
 
-    return df.select(*keep, text).mapInPandas(count, schema) if text not in keep else df.select(*keep).mapInPandas(count, schema)
+    return df.select(*keep, *([] if text in keep else [text])).mapInArrow(count, schema)
 
 
