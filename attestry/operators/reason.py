@@ -74,7 +74,7 @@ def _fire(rule: Rule, rank: int, parts: list[DataFrame]) -> DataFrame:
     """Conclusions of one rule from one choice of tables per premise."""
     joined = []
     for i, (g, df) in enumerate(zip(rule.premises, parts)):
-        keep = [F.col("scope_key"), F.col("id").alias(f"id_{i}"), F.col("ord").alias(f"ord_{i}"), F.col("bases").alias(f"b_{i}")]
+        keep = [F.col("scope_key"), F.col("id").alias(f"id_{i}"), F.col("ord").alias(f"ord_{i}")]
         if i == 0:
             keep += [F.col(d) for d in fx.SCOPE]
         joined.append(cj.atom(df, g, keep))
@@ -83,7 +83,7 @@ def _fire(rule: Rule, rank: int, parts: list[DataFrame]) -> DataFrame:
     args = F.array(*map(_argument, c.args)) if c.args else F.array().cast("array<string>")
     return rows.select(
         F.lit(c.value).alias("pred"), F.lit(len(c.args)).alias("arity"), args.alias("args"), _text(c).alias("expr_key"), "scope_key", *fx.SCOPE,
-        F.array_distinct(F.concat(*[F.col(f"b_{i}") for i in n])).alias("bases"), F.array(*[F.col(f"id_{i}") for i in n]).alias("premise_ids"),
+        F.array(*[F.col(f"id_{i}") for i in n]).alias("premise_ids"),
         F.lit(rule.id).alias("rule_id"), F.lit(rule.version).alias("rule_version"), F.struct(F.lit(rank), F.array(*[F.col(f"ord_{i}") for i in n])).alias("_proof"))
 
 
@@ -128,7 +128,11 @@ def reason(base: DataFrame, rules: list[Rule], max_rounds: int = 20, max_facts:
         new = first.select("expr_key", "scope_key", "p.*").join(known.select("expr_key", "scope_key").distinct(), ["expr_key", "scope_key"], "left_anti")
         ident = F.concat(F.lit("drv_"), F.substring(F.sha2(F.concat_ws("\x1e", "expr_key", "scope_key"), 256), 1, 24))
         order = F.xxhash64("expr_key", "scope_key").bitwiseAND(F.lit((1 << 44) - 1)) + F.lit((1 << 62) + (n << 46))
-        new = scratch.write(new.withColumn("id", ident).withColumn("ord", order).drop("_proof"), f"new_{n}")
+        new = scratch.write(new.withColumn("id", ident).withColumn("ord", order).drop("_proof"), f"first_{n}")
+        # What a conclusion rests on is looked up for its first proof only; proofs in the making stay narrow.
+        rests = new.select("id", F.explode("premise_ids").alias("p")).join(known.select(F.col("id").alias("p"), "bases"), "p")
+        rests = rests.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("bases"))).alias("bases"))
+        new = scratch.write(new.join(rests, "id"), f"new_{n}")
         count = new.count()
         if not count:
             complete = True
