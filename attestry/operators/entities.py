@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 
 @F.pandas_udf(T.StringType())
@@ -45,15 +46,29 @@ def keys(records: DataFrame, mentions: str = "entity_mentions") -> DataFrame:
 def linked(rows: DataFrame, most: int | None = 512) -> DataFrame:
     """(left, right, keys): pairs of rows (id, batch, key) of different batches that share a key, smaller id first.
 
-    Keys shared by several rows of one batch are combined per batch first.  ``most`` keeps the first
-    pairs in order of ids, as a bounded reading list; null keeps all.
+    Keys in one batch only are left out first.  ``most`` keeps the first pairs in order of ids, as a
+    bounded reading list; null keeps all.  With ``most``, only the first ``most`` + 1 ids of each key and
+    batch are paired: a pair with a later id comes after at least ``most`` others, so none is lost, and
+    no key, however often used, is paired in full.  The keys of the kept pairs are then looked up whole.
     """
     r = rows.select("id", "batch", "key").where("key is not null").distinct()
-    spread = r.groupBy("key").agg(F.countDistinct("batch").alias("n")).where("n > 1").select("key")
-    r = r.join(spread, "key", "left_semi")
-    a, b = r.select(F.col("id").alias("left"), F.col("batch").alias("lb"), "key"), r.select(F.col("id").alias("right"), F.col("batch").alias("rb"), "key")
-    pairs = a.join(b, "key").where("left < right and lb <> rb").groupBy("left", "right").agg(F.array_sort(F.collect_set("key")).alias("keys"))
-    return pairs if most is None else pairs.orderBy("left", "right").limit(most)
+    several = r.groupBy("key").agg(F.countDistinct("batch").alias("n")).where("n > 1").select("key")
+    r = r.join(several, "key", "left_semi")
+    first = r if most is None else _first(r, ["key", "batch"], most + 1)
+    a, b = first.select(F.col("id").alias("left"), F.col("batch").alias("lb"), "key"), first.select(F.col("id").alias("right"), F.col("batch").alias("rb"), "key")
+    pairs = a.join(b, "key").where("left < right and lb <> rb")
+    if most is None:
+        return pairs.groupBy("left", "right").agg(F.array_sort(F.collect_set("key")).alias("keys"))
+    kept = pairs.select("left", "right").distinct().orderBy("left", "right").limit(most)
+    x, y = r.select(F.col("id").alias("left"), F.col("batch").alias("lb"), "key"), r.select(F.col("id").alias("right"), F.col("batch").alias("rb"), "key")
+    return kept.join(x, "left").join(y, ["right", "key"]).where("lb <> rb").groupBy("left", "right").agg(F.array_sort(F.collect_set("key")).alias("keys"))
+
+
+def _first(rows: DataFrame, by: list[str], n: int) -> DataFrame:
+    """The ``n`` smallest ids of each group, cut within small parts of a group before the whole."""
+    part = Window.partitionBy(*by, "_p").orderBy("id")
+    cut = rows.withColumn("_p", F.pmod(F.xxhash64("id"), F.lit(64))).withColumn("_r", F.row_number().over(part)).where(F.col("_r") <= n)
+    return cut.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy("id"))).where(F.col("_r") <= n).drop("_p", "_r")
 
 
 def merged(facts: DataFrame, old: str, new: str) -> tuple[DataFrame, DataFrame]:

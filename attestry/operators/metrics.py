@@ -5,16 +5,17 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from attestry.operators import scan
 
 
 def interval_union(spans: DataFrame, by: list[str], start: str = "start", end: str = "end") -> DataFrame:
     """(by, start, end): overlapping or touching half-open spans merged; empty, reversed and null ones left out."""
     s = spans.select(*by, F.col(start).alias("start"), F.col(end).alias("end")).where("start < end")
-    s = s.groupBy(*by, "start").agg(F.max("end").alias("end"))
-    w = Window.partitionBy(*by).orderBy("start")
-    s = s.withColumn("_reach", F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    s = s.withColumn("_island", F.sum(F.when(F.col("start") <= F.col("_reach"), 0).otherwise(1)).over(w))
+    s = scan.spread(s.groupBy(*by, "start").agg(F.max("end").alias("end")), by, ["start"])
+    s = scan.running(s, by, ["start"], F.col("end"), "_reach", "max")
+    new = F.when(F.col("start") <= F.col("_reach"), 0).otherwise(1)
+    s = scan.running(s, by, ["start"], new, "_island").withColumn("_island", F.coalesce("_island", F.lit(0)) + new)
     return s.groupBy(*by, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_island")
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from attestry.functions.text import ASCII_TOKEN, SEARCH_TOKEN, tokens
+from attestry.operators import scan
 
 # Words the two searches leave out.
 STOP_A = "the a an and or of to in on for is are was were be by as at with from that this it".split()
@@ -189,7 +190,7 @@ def expanded(docs: DataFrame, query: str, rounds: int = 3, k: int = 10, decide=N
 
 def within_budget(regions: DataFrame, budget: int, by: list[str], order: list[str], text: str = "text") -> DataFrame:
     """Regions in order until ``budget`` characters per ``by``; the last one cut to what is left."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    used = F.coalesce(F.sum(F.length(text)).over(w), F.lit(0))
-    r = regions.withColumn("_used", used).where((F.col("_used") < budget) & (F.length(text) > 0))
-    return r.withColumn(text, F.substring(F.col(text), F.lit(1), F.lit(budget) - F.col("_used"))).drop("_used")
+    parts = scan.spread(regions, by, order)
+    r = scan.running(parts, by, order, F.length(text), "_used").withColumn("_used", F.coalesce("_used", F.lit(0)))
+    r = r.where((F.col("_used") < budget) & (F.length(text) > 0))
+    return r.withColumn(text, F.substring(F.col(text), F.lit(1), F.lit(budget) - F.col("_used"))).select(regions.columns)

@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from attestry import facts as fx
 from attestry.functions.text import label
-from attestry.operators import audit, closure, entities, graph, metrics, procedures, retrieve
+from attestry.operators import audit, closure, entities, graph, metrics, procedures, retrieve, scan
 from attestry.operators.reason import Rule, reason
 from attestry.operators.resolve import resolve
 from attestry.plans import conjunctive as cj
@@ -403,24 +402,26 @@ def graph_search(s, d):
 @query(f"""WITH p AS (SELECT * FROM {held('passages')} WHERE coalesce(lifecycle, '') <> 'deleted' AND startChar IS NOT NULL)
 SELECT id, lag(id) OVER w before_id, lead(id) OVER w after_id FROM p WINDOW w AS (PARTITION BY sourceVersionId ORDER BY startChar, id)""")
 def adjacent_context(s, d):
-    w = Window.partitionBy("source_version_id").orderBy("startChar", "id")
-    return src.passages(s, d).where("startChar is not null").select("id", F.lag("id").over(w).alias("before_id"), F.lead("id").over(w).alias("after_id"))
+    by, order = ["source_version_id"], ["startChar", "id"]
+    p = scan.spread(src.passages(s, d).where("startChar is not null").select(*by, *order), by, order)
+    return scan.neighbours(p, by, order, "id", "before_id", "after_id").select("id", "before_id", "after_id")
 
 
 @query("""WITH n AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 i, count(*) OVER (PARTITION BY source) n FROM documents)
 SELECT doc_id, source FROM n WHERE n <= 20 OR floor((i + 1) * 20.0 / n) > floor(i * 20.0 / n)""")
 def evenly_spaced(s, d):
-    # Parts keep the ordering of one large source out of a single task: ranks are summed from counts per range.
-    w = Window.partitionBy("source").orderBy("doc_id")
-    n = table(s, d, "documents").select("doc_id", "source").withColumn("i", F.row_number().over(w) - 1)
-    n = n.join(table(s, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n")), "source")
+    parts = scan.spread(table(s, d, "documents").select("doc_id", "source"), ["source"], ["doc_id"])
+    n = scan.rank(parts, ["source"], ["doc_id"], "i").withColumn("i", F.col("i") - 1)
+    n = n.join(parts.groupBy("source").agg(F.count(F.lit(1)).alias("n")), "source")
     return n.where((F.col("n") <= 20) | (F.floor((F.col("i") + 1) * 20.0 / F.col("n")) > F.floor(F.col("i") * 20.0 / F.col("n")))).select("doc_id", "source")
 
 
 @query("SELECT event_id, greatest(0, value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id)) delta FROM events QUALIFY delta IS NOT NULL AND lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NOT NULL")
 def usage_delta(s, d):
-    before = F.lag("value").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    return table(s, d, "events").withColumn("b", before).where("b is not null").select("event_id", F.greatest(F.lit(0.0), F.col("value") - F.col("b")).alias("delta"))
+    by, order = ["user_id"], ["ts", "event_id"]
+    parts = scan.spread(table(s, d, "events").select(*by, *order, "value"), by, order)
+    e = scan.neighbours(parts, by, order, "value", "b", "a").where("b is not null")
+    return e.select("event_id", F.greatest(F.lit(0.0), F.col("value") - F.col("b")).alias("delta"))
 
 
 @query("SELECT user_id, event_type, max_by(event_id, (ts, event_id)) event_id FROM events GROUP BY 1, 2")

@@ -162,7 +162,7 @@ def files(spark: SparkSession, path: str, limit: int = 50_000_000) -> tuple[Data
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     raw = raw.select("path", "content", F.sha2("content", 256).alias("digest"), F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)).alias("ext"))
     raw = raw.withColumn("source_version_id", F.concat(F.lit("srcv_"), F.substring("digest", 1, 32)))
-    plain = raw.where(F.col("ext").isin("txt", "md", "text", "html", "xml", "csv", "tsv", "json", "jsonl")).select("source_version_id", "digest", "ext", F.decode("content", "UTF-8").alias("text"))
+    plain = raw.where(F.col("ext").isin("txt", "md", "text", "html", "xml", "csv", "tsv", "json", "jsonl")).select("source_version_id", "digest", "ext", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
     okay = plain.where((F.col("ext") != "json") | F.expr("try_parse_json(text) is not null"))
     ln = lines(okay.select("source_version_id", "text")).join(okay.select("source_version_id", "digest").distinct(), "source_version_id")
     where = F.concat_ws(":", F.lit("text-line"), "ord", "start", "end")

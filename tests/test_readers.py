@@ -42,6 +42,7 @@ def test_csv_and_json(spark, tmp_path):
 
 def test_files_by_extension(spark, tmp_path):
     (tmp_path / "t.txt").write_text("one\n\ntwo")
+    (tmp_path / "l.txt").write_bytes(b"caf\xe9 x")
     (tmp_path / "j.json").write_text("{bad")
     (tmp_path / "z.bin").write_bytes(b"\x00\x01")
     (tmp_path / "broken.docx").write_bytes(b"nothing")
@@ -53,9 +54,9 @@ def test_files_by_extension(spark, tmp_path):
         z.writestr("o/a.xhtml", "<html><head><title>t</title></head><body><p>A one</p><p>A two</p></body></html>")
         z.writestr("o/b.xhtml", "<html><body><p>B</p></body></html>")
     regions, coverage = readers.files(spark, str(tmp_path))
-    assert sorted(r.text for r in regions.collect()) == ["A one", "A two", "B", "Hello there", "one", "two"]
-    assert regions.select("region_id").distinct().count() == 6
-    assert sorted(r.state for r in coverage.collect()) == ["partial", "ready", "ready", "ready", "unreadable", "unreadable"]
+    assert sorted(r.text for r in regions.collect()) == ["A one", "A two", "B", "Hello there", "caf\ufffd x", "one", "two"]
+    assert regions.select("region_id").distinct().count() == 7
+    assert sorted(r.state for r in coverage.collect()) == ["partial", "ready", "ready", "ready", "ready", "unreadable", "unreadable"]
     assert [r.text for r in regions.where("kind = 'epub-chapter'").orderBy("ord").collect()] == ["A one", "A two", "B"]
 
 
