@@ -16,12 +16,14 @@ from attestry.scratch import Scratch
 PART = "_part"
 
 
-def spread(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+def spread(df: DataFrame, by: list[str], order: list[str], parts: int | None = None) -> DataFrame:
     """``df`` range-partitioned by group and order and written, with the part each row is in.
 
+    ``parts`` fixes their number; else it follows from the data's size.
     ``order`` must tell the rows of a group apart, else rows that tie across a border stand in either part.
     """
-    ranged = df.repartitionByRange(*by, *order).withColumn(PART, F.spark_partition_id())
+    count = [] if parts is None else [parts]
+    ranged = df.repartitionByRange(*count, *by, *order).withColumn(PART, F.spark_partition_id())
     return Scratch(df.sparkSession, "scan").write(ranged, "parts")
 
 

@@ -17,8 +17,8 @@ def test_scans_over_hot_and_null_groups(spark):
     data = [(rng.choice(["hot"] * 6 + ["a", "b", None]), i, rng.randint(-5, 5)) for i in range(400)]
     rng.shuffle(data)
     d = spark.createDataFrame(data, "g string, i int, v int")
-    p = scan.spread(d, ["g"], ["i"])
-    assert p.select("_part").distinct().count() > 1
+    p = scan.spread(d, ["g"], ["i"], parts=7)
+    assert p.select("_part").distinct().count() == 7
     got = {r.i: r for r in scan.neighbours(scan.running(scan.running(scan.rank(p, ["g"], ["i"]), ["g"], ["i"], F.col("v"), "total"), ["g"], ["i"], F.col("v"), "top", "max"), ["g"], ["i"], "v").collect()}
     assert len(got) == 400
     for g in ("hot", "a", "b", None):
