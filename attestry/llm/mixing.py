@@ -22,10 +22,10 @@ def rates(sizes: DataFrame, targets: DataFrame, source: str = "source", size: st
     uses count as 0.
     """
     per = sizes.groupBy(label(source).alias("key")).agg(F.sum(size).alias("tokens"))
-    whole = per.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("whole"))
+    whole = per.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("whole")).scalar()
     t = (targets.select(label("source").alias("key"), "source", F.coalesce("target_share", F.lit(0.0)).alias("target_share"), F.coalesce("max_uses", F.lit(0)).alias("max_uses"))
          .where("key is not null").groupBy("key").agg(F.max(F.struct("target_share", "max_uses", "source")).alias("t")).select("key", "t.source", "t.target_share", "t.max_uses"))
-    j = t.join(per, "key", "left").crossJoin(whole)  # one row: the size of the whole
+    j = t.join(per, "key", "left").withColumn("whole", whole)
     tokens, wanted = F.coalesce("tokens", F.lit(0)), F.col("target_share") * F.col("whole")
     return j.select("key", "source", "target_share", "max_uses", tokens.alias("tokens"), wanted.alias("wanted"),
                     F.when(tokens > 0, F.least(wanted / tokens, F.col("max_uses").cast("double"))).otherwise(0.0).alias("rate"),
@@ -50,6 +50,6 @@ def report(rate: DataFrame, mix: DataFrame, size: str = "n_tokens") -> DataFrame
     """Per target source: the share wanted, the share reached in the mix, uses and shortfall."""
     got = mix.groupBy("source").agg(F.sum(size).alias("mixed_tokens"), F.count(F.lit(1)).alias("mixed_docs"), F.max("copy").alias("most_uses"))
     j = rate.join(got, "source", "left").fillna(0, ["mixed_tokens", "mixed_docs", "most_uses"])
-    total = got.agg(F.sum("mixed_tokens").alias("mix"))
-    return j.crossJoin(total).select("source", "target_share", "max_uses", "tokens", F.round("rate", 9).alias("rate"), "mixed_tokens", "mixed_docs", "most_uses",
-                                     F.round(F.col("mixed_tokens") / F.col("mix"), 9).alias("reached_share"), "short")
+    total = got.agg(F.sum("mixed_tokens").alias("mix")).scalar()
+    return j.withColumn("mix", total).select("source", "target_share", "max_uses", "tokens", F.round("rate", 9).alias("rate"), "mixed_tokens", "mixed_docs", "most_uses",
+                                     F.round(F.try_divide(F.col("mixed_tokens").cast("double"), F.col("mix")), 9).alias("reached_share"), "short")

@@ -187,4 +187,4 @@ def fill(placed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """One row: containers, tokens and the share of their space that is used."""
     per = placed.where("container is not null").groupBy("container").agg(F.sum("piece_tokens").alias("t"))
     return per.agg(F.count(F.lit(1)).alias("containers"), F.sum("t").alias("tokens"), F.max("t").alias("fullest"),
-                   F.round(F.sum("t") / (F.count(F.lit(1)) * capacity), 6).alias("used_share"))
+                   F.round(F.try_divide(F.sum("t").cast("double"), F.count(F.lit(1)) * capacity), 6).alias("used_share"))

@@ -33,6 +33,9 @@ def test_empty(spark):
     r = mixing.rates(d, t)
     assert rows(r, "source", "rate", "short") == [("a", 0.0, False)] and mixing.mixed(d, r).count() == 0
     assert mixing.rates(d, t.where("false")).count() == 0
+    zero = spark.createDataFrame([(1, "a", 0)], "doc_id long, source string, n_tokens long")
+    r = mixing.rates(zero, t)
+    assert rows(mixing.report(r, mixing.mixed(zero, r)), "reached_share", "short") == [(None, False)]
 
 
 def test_sizes_of_whole_texts(spark):
