@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from attestry.operators.retrieve import BASELINE
+from attestry.operators.retrieve import BASELINE, top
 from attestry.scratch import Scratch
 
 #: Up to three title-case words; word limits are ASCII, which both engines of the comparison share.
@@ -122,6 +122,4 @@ def graph_scores(ents: DataFrame, homes: DataFrame, summary: DataFrame, query: s
     docs = ents.join(homes, "entity").join(s, "community").groupBy("id").agg(F.max("hits").alias("hits"))
     overlap = F.size(F.filter(terms, lambda t: F.contains(F.lower("entity"), t)))
     per = ents.select("id", overlap.alias("o")).groupBy("id").agg(F.sum("o").alias("o"))
-    from attestry.operators.retrieve import top
-
     return top(docs.join(per, "id").select("id", (F.col("o") + weight * F.col("hits")).alias("score")), k)

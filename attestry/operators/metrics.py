@@ -1,4 +1,4 @@
-"""Spans, evaluation measures and costs."""
+"""Spans and evaluation measures."""
 
 from __future__ import annotations
 
@@ -60,30 +60,6 @@ def family(df: DataFrame, by: list[str], measures: list[str]) -> DataFrame:
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[F.round(mean(m), 6).alias(f"mean_{m}") for m in measures])
 
 
-def priced(usage: DataFrame, prices: DataFrame, on: str = "model", at: str | None = None) -> DataFrame:
-    """``usage`` with ``cost``: uncached and cached input and output tokens at the model's price per million.
-
-    The price with the latest effective date not after ``at`` (a column; null: the latest) holds; a
-    model without a price, or more cached than input tokens, has a null cost.
-    """
-    p = prices.select(F.col("model").alias("_m"), F.col("effectiveDate").cast("string").alias("_d"), F.struct(F.col("effectiveDate").cast("string"), "inputPerMillion", "cachedInputPerMillion", "outputPerMillion").alias("_p"))
-    u = usage.withColumn("_k", F.monotonically_increasing_id())
-    fits = F.col(on) == F.col("_m")
-    if at:
-        fits = fits & (F.col("_d") <= F.col(at).cast("string"))
-    best = u.join(p, fits).groupBy("_k").agg(F.max("_p").alias("_p"))
-    j = u.join(best, "_k", "left").drop("_k")
-    cached = F.coalesce("cached_input_tokens", F.lit(0))
-    cost = ((F.col("input_tokens") - cached) * F.col("_p.inputPerMillion") + cached * F.col("_p.cachedInputPerMillion") + F.col("output_tokens") * F.col("_p.outputPerMillion")) / 1e6
-    return j.withColumn("cost", F.when(cached <= F.col("input_tokens"), cost)).drop("_p")
-
-
-def breaches(df: DataFrame, limits: dict[str, float]) -> DataFrame:
-    """``df`` with ``breaches`` (names of limits exceeded) and ``eligible``."""
-    names = F.array_compact(F.array(*[F.when(F.col(c) > v, F.lit(c)) for c, v in limits.items()])) if limits else F.array().cast("array<string>")
-    return df.withColumn("breaches", names).withColumn("eligible", F.size("breaches") == 0)
-
-
 def xorshift(seed_hex: str):
     """Uniform draws in [0, 1) from the first eight hex digits of a digest: 32-bit shifts by 13, 17 and 5."""
     x = int(seed_hex[:8], 16) or 1
@@ -117,6 +93,6 @@ def bootstrap_rows(df: DataFrame, value: str, by: list[str], resamples: int = 20
         marks.append(total)
         p /= k
     times = sum((F.when(u >= m, 1).otherwise(0) for m in marks), F.lit(0))
-    rows = df.withColumn("_i", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).groupBy(*by, "_i").agg((F.sum(times * F.col(value)) / F.sum(times)).alias("m"))
+    rows = df.withColumn("_i", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).groupBy(*by, "_i").agg(F.try_divide(F.sum(times * F.col(value)).cast("double"), F.sum(times)).alias("m"))
     point = df.groupBy(*by).agg(F.avg(value).alias("mean"))
     return point.join(rows.groupBy(*by).agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high")), by)

@@ -8,12 +8,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from attestry.functions.text import ASCII_TOKEN, SEARCH_TOKEN, tokens
 from attestry.operators import scan
+from attestry.scratch import Scratch
 
 # Words the two searches leave out.
 STOP_A = "the a an and or of to in on for is are was were be by as at with from that this it".split()
@@ -62,14 +65,14 @@ def bm25(docs: DataFrame, queries: DataFrame, analyzer: Analyzer = SCOPED, k1: f
     q = q.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qn"))
     q = q.withColumn("qn", F.lit(1)) if analyzer.distinct_query else q
     sized = docs.select(F.col(id).alias("id"), analyzer.column(text).alias("ts"))
-    whole = sized.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("ts")).alias("avgdl"))
+    whole = sized.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg(F.size("ts")).alias("avgdl")).alias("w")).scalar()
     asked = q.select("term").distinct()
     tf = (sized.select("id", F.size("ts").alias("dl"), F.explode("ts").alias("term")).join(asked, "term", "left_semi")
           .groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
     df = document_frequency(tf)
-    j = tf.join(df, "term").join(q, "term").crossJoin(F.broadcast(whole))  # one row
-    idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.col("qn") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    j = tf.join(df, "term").join(q, "term").withColumn("w", whole)
+    idf = F.ln(1 + (F.col("w.n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = F.col("qn") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("w.avgdl")))
     return j.groupBy("query_id", "id").agg(F.sum(part).alias("score")).where("score > 0")
 
 
@@ -94,51 +97,55 @@ def cosine(a: str | Column, b: str | Column) -> Column:
     return F.when(norm > 0, dot(a, b) / norm).otherwise(0.0)
 
 
-def dense(vectors: DataFrame, queries: DataFrame, k: int, id: str = "id", vector: str = "vector", block: int = 128) -> DataFrame:
+def dense(vectors: DataFrame, queries: DataFrame, k: int, id: str = "id", vector: str = "vector", block: int = 2048) -> DataFrame:
     """(query_id, id, score, rank): the exact ``k`` nearest by cosine for stated queries (query_id, query_vector).
 
-    Queries are taken in blocks of at most ``block``; each block is one pass over all vectors in which
-    every task multiplies its rows with the block and keeps its own best, so what is shuffled is k rows
-    per query and task.  Vectors of another length than the query's, or null, are not comparable and left out.
+    Queries are taken in blocks of about ``block`` rows, one on the driver at a time; each block is one
+    pass over all vectors in which every task multiplies its rows with the block and keeps its own best,
+    so what is shuffled is k rows per query and task.  Vectors of another length than the block's, or
+    null, are not comparable and left out.
     """
-    import numpy as np
-    import pandas as pd
-
+    scratch = Scratch(vectors.sparkSession, "dense")
     stated = queries.select("query_id", "query_vector").where("query_vector is not null")
-    kind = vectors.schema[id].dataType.simpleString()
-    qkind = queries.schema["query_id"].dataType.simpleString()
-    schema = f"query_id {qkind}, id {kind}, score double"
-    numbered = stated.orderBy("query_id").collect()  # the stated queries themselves, a parameter of the search
+    blocks = max(1, -(-stated.count() // block))
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {vectors.schema[id].dataType.simpleString()}, score double"
+    rows = vectors.select(F.col(id).alias("id"), F.col(vector).alias("v")).where("v is not null")
     out = None
-    for at in range(0, len(numbered), block):
-        part = numbered[at : at + block]
-        ids, mat = [r[0] for r in part], np.array([r[1] for r in part], dtype=np.float64)
-        mat = mat / np.maximum(np.linalg.norm(mat, axis=1, keepdims=True), 1e-300)
-
-        def near(batches, ids=ids, mat=mat):
-            best = None
-            for b in batches:
-                ok = b["v"].map(lambda v: v is not None and len(v) == mat.shape[1])
-                b = b[ok]
-                if not len(b):
-                    continue
-                v = np.array(b["v"].to_list(), dtype=np.float64)
-                v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-                s = v @ mat.T
-                rows = pd.DataFrame({"query_id": np.tile(np.array(ids, dtype=object), len(b)), "id": np.repeat(b["id"].to_numpy(), len(ids)), "score": s.ravel()})
-                best = rows if best is None else pd.concat([best, rows])
-                best["_s"] = best["score"].round(10)
-                best = best.sort_values(["query_id", "_s", "id"], ascending=[True, False, True]).groupby("query_id", sort=False).head(k)
-            if best is not None:
-                yield best[["query_id", "id", "score"]]
-
-        rows = vectors.select(F.col(id).alias("id"), F.col(vector).alias("v")).mapInPandas(near, schema)
-        out = rows if out is None else out.unionByName(rows)
+    for i in range(blocks):
+        part = stated.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).collect()  # about `block` rows
+        for dim in sorted({len(r[1]) for r in part}):
+            own = [r for r in part if len(r[1]) == dim]
+            near = rows.mapInPandas(_nearest([r[0] for r in own], np.array([r[1] for r in own], dtype=np.float64), k), schema)
+            near = near if blocks == 1 else scratch.write(top(near, k, by=["query_id"]).drop("rank"), f"block_{i}_{dim}")
+            out = near if out is None else out.unionByName(near)
     if out is None:
         out = vectors.sparkSession.createDataFrame([], schema)
     return top(out, k, by=["query_id"])
 
 
+def _nearest(ids: list, mat: np.ndarray, k: int):
+    mat = mat / np.maximum(np.linalg.norm(mat, axis=1, keepdims=True), 1e-300)
+
+    def near(batches):
+        best = None
+        for b in batches:
+            b = b[b["v"].map(len) == mat.shape[1]]
+            for at in range(0, len(b), 4096):
+                c = b.iloc[at : at + 4096]
+                v = np.array(c["v"].to_list(), dtype=np.float64)
+                s = ((v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)) @ mat.T).round(12)
+                # Per query the k best of this piece; ties by id are settled among all that reach the k-th score.
+                take = np.ones_like(s, dtype=bool) if len(c) <= k else s.round(10) >= np.partition(s.round(10), len(c) - k, axis=0)[len(c) - k]
+                r, q = np.nonzero(take)
+                new = pd.DataFrame({"query_id": np.array(ids, dtype=object)[q], "id": c["id"].to_numpy()[r], "score": s[r, q]})
+                best = new if best is None else pd.concat([best, new])
+                best = best.assign(_s=best["score"].round(10)).sort_values(["query_id", "_s", "id"], ascending=[True, False, True]).groupby("query_id", sort=False).head(k).drop(columns="_s")
+        if best is not None:
+            yield best
+
+    return near
+
+
 def fused(first: DataFrame, second: DataFrame, k: int, base: int = 60, missing: int = 10_000) -> DataFrame:
     """(query_id, id, score, rank): reciprocal-rank fusion of two ranked lists (query_id, id, rank); an absent rank counts as ``missing``."""
     a = first.select("query_id", "id", F.col("rank").alias("r1"))

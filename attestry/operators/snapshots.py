@@ -3,7 +3,7 @@
 A snapshot stores its own rows only (``put`` rows and ``drop`` keys per table) and names its parent; a
 read folds the chain of deltas, newest first, with one shuffle on the key.  A fork is a header, no
 copy.  Headers and head pointers are small JSON files on the driver's view of the store; heads change
-by compare-and-swap under a file lock.  ``compact`` writes the folded rows once, where chains grow long.
+by compare-and-swap under a file lock; the root is a folder on a mount that driver and executors share.  ``compact`` writes the folded rows once, where chains grow long.
 """
 
 from __future__ import annotations
@@ -39,6 +39,7 @@ class Header:
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.removeprefix("file://")
+        self.data = f"file://{self.root}/snapshots"
         os.makedirs(f"{self.root}/projects", exist_ok=True)
         os.makedirs(f"{self.root}/snapshots", exist_ok=True)
 
@@ -68,7 +69,7 @@ class Store:
     def _add(self, project: str, parent: str | None, tables: dict[str, DataFrame], base: bool = False) -> str:
         sid = f"snap_{uuid.uuid4().hex}"
         for name, df in tables.items():
-            df.write.parquet(f"{self.root}/snapshots/{sid}/{name}")
+            df.write.parquet(f"{self.data}/{sid}/{name}")
         self._write(f"{self.root}/snapshots/{sid}.json", {"id": sid, "project": project, "parent": parent, "tables": sorted(tables), "base": base})
         return sid
 
@@ -113,7 +114,7 @@ class Store:
         out = None
         for age, h in enumerate(headers):
             if table in h.tables:
-                d = self.spark.read.parquet(f"{self.root}/snapshots/{h.id}/{table}").withColumn("_age", F.lit(age))
+                d = self.spark.read.parquet(f"{self.data}/{h.id}/{table}").withColumn("_age", F.lit(age))
                 out = d if out is None else out.unionByName(d, allowMissingColumns=True)
         return out
 

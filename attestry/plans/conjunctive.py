@@ -48,7 +48,7 @@ def atom(df: DataFrame, goal: Term, keep: list[Column]) -> DataFrame:
         return None
 
     for i, a in enumerate(goal.args):
-        c = F.col("args")[i]
+        c = F.get("args", F.lit(i))
         if a.kind == "variable":
             test = meet(a.value, c)
             rows = rows.where(test) if test is not None else rows
@@ -128,5 +128,4 @@ def residuals(spark, goal: Term | str, rows: DataFrame) -> DataFrame:
         open_ = [(terms.show(g), "the join has no complete binding") for g in terms.goals(goal.args[0])]
     else:
         open_ = [(terms.show(goal), "no statement matches exactly")]
-    empty = rows.limit(1).agg((F.count(F.lit(1)) == 0).alias("_none"))
-    return spark.createDataFrame(open_, "goal string, reason string").crossJoin(empty).where("_none").drop("_none")
+    return spark.createDataFrame(open_, "goal string, reason string").where(~rows.exists())

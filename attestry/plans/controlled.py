@@ -66,7 +66,7 @@ def evaluated(cases: DataFrame, records: DataFrame) -> DataFrame:
     done = rows.where("false")
     for i in range(max(0, longest)):
         done = done.unionByName(rows.where(F.size("goals") <= i))
-        r = rows.where(F.size("goals") > i).withColumn("g", F.col("goals")[i]).withColumn("pred", F.col("g.pred"))
+        r = rows.where(F.size("goals") > i).withColumn("g", F.get("goals", F.lit(i))).withColumn("pred", F.col("g.pred"))
         f = live.select("case_id", "pred", "id", F.col("args").alias("fa"), "scope_key", "opponent_id", *fx.SCOPE)
         j = r.join(f, ["case_id", "pred"]).where((F.size("fa") == F.size("g.args")) & (F.col("sk").isNull() | (F.col("sk") == F.col("scope_key"))))
         pairs = F.arrays_zip(F.col("g.args").alias("p"), F.col("fa").alias("a"))

@@ -507,21 +507,6 @@ def span_precision_recall(s, d):
     return r.select("sid", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"), F.round("span_recall", 6).alias("span_recall"))
 
 
-@query("""SELECT event_type, round(sum(((i - c) * p + c * p / 2 + o * p * 4) / 1e6), 6) AS "cost", count(*) n FROM (SELECT event_type, floor(value * 100) i, floor(value * 10) c, floor(value) o,
- CASE event_type WHEN 'click' THEN 2.0::DOUBLE WHEN 'view' THEN 4.0::DOUBLE ELSE 1.0::DOUBLE END p FROM events) GROUP BY 1""")
-def cost_rollup(s, d):
-    e = table(s, d, "events").select(F.col("event_type").alias("model"), F.floor(F.col("value") * 100).alias("input_tokens"), F.floor(F.col("value") * 10).alias("cached_input_tokens"), F.floor("value").alias("output_tokens"))
-    kinds = e.select("model").distinct()
-    p = F.when(F.col("model") == "click", 2.0).when(F.col("model") == "view", 4.0).otherwise(1.0)
-    prices = kinds.select("model", F.lit("2024-01-01").alias("effectiveDate"), p.alias("inputPerMillion"), (p / 2).alias("cachedInputPerMillion"), (p * 4).alias("outputPerMillion"))
-    return metrics.priced(e, prices).groupBy(F.col("model").alias("event_type")).agg(F.round(F.sum("cost"), 6).alias("cost"), F.count(F.lit(1)).alias("n"))
-
-
-@query("SELECT event_id, concat_ws(',', CASE WHEN value > 100 THEN 'value' END, CASE WHEN user_id > 50 THEN 'user_id' END) breaches, NOT (value > 100 OR user_id > 50) eligible FROM events")
-def budget_flags(s, d):
-    return metrics.breaches(table(s, d, "events"), {"value": 100, "user_id": 50}).select("event_id", F.array_join("breaches", ",").alias("breaches"), "eligible")
-
-
 @query(None)
 def bootstrap_by_type(s, d):
     return metrics.bootstrap_rows(table(s, d, "events").select("event_id", "event_type", "value"), "value", ["event_type"])

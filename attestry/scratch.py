@@ -17,6 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+_WRITTEN: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -39,6 +40,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.base = f"{shared_root(spark)}/attestry-{name}-{uuid.uuid4().hex[:12]}"
+        _WRITTEN.append(self.base)
 
     def write(self, df: DataFrame, table: str, by: list[str] | None = None) -> DataFrame:
         """Write ``df`` and return a reader of what was written, with the same schema."""
@@ -62,3 +64,10 @@ class Scratch:
             gc.collect()
             self.spark._jvm.System.gc()
             time.sleep(0.25)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all intermediate tables this driver has written; results that read them can't be read afterwards."""
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -60,3 +60,14 @@ def test_empty_and_repeated_and_clashing_columns(spark):
     check(spark, [])
     d = spark.createDataFrame([("a", None, "x", 1), ("b", "a", "y", 2), ("b", "a", "y", 2), ("B ", "a", None, None)], "id string, parentProjectId string, k string, depth int")
     assert rows(Forest(d).nodes, "k", "depth") == [("a", 0), ("b", 1)]
+
+
+def test_written_tables_go_to_the_shared_folder_and_can_be_cleared(spark, tmp_path, monkeypatch):
+    from attestry import scratch
+
+    monkeypatch.setattr(scratch, "shared_root", lambda s: f"file://{tmp_path}/shared")
+    monkeypatch.setattr(scratch, "_WRITTEN", [])
+    check(spark, [("a", None), ("b", "a")])
+    assert list((tmp_path / "shared").glob("attestry-forest-*/state_0"))
+    scratch.clear(spark)
+    assert not list((tmp_path / "shared").glob("attestry-*"))
