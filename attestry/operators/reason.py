@@ -97,20 +97,21 @@ class Reasoned:
     complete: bool
 
 
-def reason(base: DataFrame, rules: list[Rule], max_rounds: int = 20, max_facts: int | None = 1000) -> Reasoned:
+def reason(base: DataFrame, rules: list[Rule], max_rounds: int = 20, max_facts: int | None = 1000, bases: bool = True) -> Reasoned:
     """All that follows from the usable ``base`` facts.
 
     All premises of a proof stand in one scope, which the conclusion takes over.  A call in a scope is
     concluded once, with its first proof (earliest round, then rule, then premises in order).  Derived
     facts name their premises and the base facts they rest on; a base fact that names none rests on
-    itself.  At most ``max_rounds`` (1 to 100) rounds and ``max_facts`` derived facts (null: as many as
+    itself (without ``bases`` they name their premises only, which long chains of rules make far
+    smaller).  At most ``max_rounds`` (1 to 100) rounds and ``max_facts`` derived facts (null: as many as
     follow); if either ends the work, ``complete`` is false and the facts of the last round are whole.
     """
     scratch = Scratch(base.sparkSession, "reason")
     max_rounds = min(100, max(1, max_rounds))
     preds = sorted({p.value for r in rules for p in r.premises} | {r.conclusion.value for r in rules})
-    bases = F.when(F.size("dependencies") > 0, F.col("dependencies")).otherwise(F.array("id"))
-    known = base.where(fx.usable()).where(F.col("pred").isin(preds)).withColumn("scope_key", fx.scope_key()).withColumn("bases", bases).select(*_CARRIED)
+    rest = F.when(F.size("dependencies") > 0, F.col("dependencies")).otherwise(F.array("id")) if bases else F.lit(None).cast("array<string>")
+    known = base.where(fx.usable()).where(F.col("pred").isin(preds)).withColumn("scope_key", fx.scope_key()).withColumn("bases", rest).select(*_CARRIED)
     known = scratch.write(known, "known_0")
     delta, derived, total, n, complete = known, None, 0, 0, not rules
     while not complete and n < max_rounds:
@@ -123,16 +124,21 @@ def reason(base: DataFrame, rules: list[Rule], max_rounds: int = 20, max_facts:
                     break
                 parts = [known if j > i else (delta if j == i else old) for j in range(len(r.premises))] if n > 1 else [known] * len(r.premises)
                 fired.append(_fire(r, rank, parts))
-        every = reduce(DataFrame.unionByName, fired)
+        # What is known goes out first; the join has then placed the rest as the choice of first proofs needs it.
+        every = reduce(DataFrame.unionByName, fired).join(known.select("expr_key", "scope_key"), ["expr_key", "scope_key"], "left_anti")
         first = every.groupBy("expr_key", "scope_key").agg(F.min_by(F.struct(*[c for c in every.columns if c not in ("expr_key", "scope_key")]), "_proof").alias("p"))
-        new = first.select("expr_key", "scope_key", "p.*").join(known.select("expr_key", "scope_key").distinct(), ["expr_key", "scope_key"], "left_anti")
+        new = first.select("expr_key", "scope_key", "p.*")
         ident = F.concat(F.lit("drv_"), F.substring(F.sha2(F.concat_ws("\x1e", "expr_key", "scope_key"), 256), 1, 24))
         order = F.xxhash64("expr_key", "scope_key").bitwiseAND(F.lit((1 << 44) - 1)) + F.lit((1 << 62) + (n << 46))
-        new = scratch.write(new.withColumn("id", ident).withColumn("ord", order).drop("_proof"), f"first_{n}")
-        # What a conclusion rests on is looked up for its first proof only; proofs in the making stay narrow.
-        rests = new.select("id", F.explode("premise_ids").alias("p")).join(known.select(F.col("id").alias("p"), "bases"), "p")
-        rests = rests.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("bases"))).alias("bases"))
-        new = scratch.write(new.join(rests, "id"), f"new_{n}")
+        new = new.withColumn("id", ident).withColumn("ord", order).drop("_proof")
+        if bases:
+            # What a conclusion rests on is looked up for its first proof only; proofs in the making stay narrow.
+            new = scratch.write(new, f"first_{n}")
+            rests = new.select("id", F.explode("premise_ids").alias("p")).join(known.select(F.col("id").alias("p"), "bases"), "p")
+            new = new.join(rests.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("bases"))).alias("bases")), "id")
+        else:
+            new = new.withColumn("bases", F.lit(None).cast("array<string>"))
+        new = scratch.write(new, f"new_{n}")
         count = new.count()
         if not count:
             complete = True

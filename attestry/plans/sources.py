@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from attestry import facts as fx
 from attestry.functions.text import label
+from attestry.scratch import Scratch
 from attestry.tables import latest, table
 
 
@@ -56,7 +57,8 @@ def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def passage_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fx.facts(fx.parsed(passages(spark, sf_dir), "ske"))
+    """Read and parsed once, then a table: goals, oppositions and audits each read only the columns they need."""
+    return Scratch(spark, "facts").write(fx.facts(fx.parsed(passages(spark, sf_dir), "ske")), "passages")
 
 
 def finding_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
