@@ -1,7 +1,6 @@
 """Structured Streaming: each arriving batch processed once, with what it made stale.
 
-The reference of this engine has no event-time streaming; these are its incremental parts: a
-processed-once ledger, invalidation on change, and a hook that runs on arrival.
+A processed-once ledger, invalidation on change, a hook that runs on arrival, and windowed counts.
 """
 
 from __future__ import annotations
