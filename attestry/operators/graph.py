@@ -68,31 +68,89 @@ def louvain(nodes: list[str], edges: list[tuple[str, str, float]], passes: int =
     return home
 
 
-def communities(edges: DataFrame, rounds: int = 20, small: int = 50_000) -> DataFrame:
-    """(entity, community): modularity moves on the driver for graphs of at most ``small`` edges, else weighted label propagation.
-
-    The size is counted before anything is collected.  Propagation moves a node to the label with most
-    weight among its neighbours, ties to the smaller; each round about half of the nodes, chosen by a hash, may move, so two don't swap forever.
+def modularity(edges: DataFrame, homes: DataFrame) -> float:
+    """Modularity of the communities ``homes`` (entity, community) over ``edges`` (a, b, weight); 0 without edges."""
+    e = edges.where("a != b").select("a", "b", F.col("weight").cast("double").alias("weight"))
+    h = homes.select("entity", "community")
+    e = e.join(h.toDF("a", "ca"), "a").join(h.toDF("b", "cb"), "b")
+    ends = e.select("weight", (F.col("ca") == F.col("cb")).alias("inside"), F.explode(F.array("ca", "cb")).alias("c"))
+    per = ends.groupBy("c").agg(F.sum("weight").alias("t"), F.sum(F.when(F.col("inside"), F.col("weight"))).alias("w"))
+    r = per.agg(F.sum("t").alias("m2"), F.sum("w").alias("w"), F.sum(F.col("t") * F.col("t")).alias("tt")).first()
+    return (r.w or 0.0) / r.m2 - r.tt / r.m2**2 if r.m2 else 0.0
+
+
+def communities(edges: DataFrame, nodes: DataFrame | None = None, small: int = 50_000) -> DataFrame:
+    """(entity, community): modularity moves at every size, until no move of one name to a neighbour's community raises modularity.
+
+    A community is named by its first name.  Names of ``nodes`` (entity) without an edge are communities
+    of their own.  In a round each name finds its best community and some of those that gain move at
+    once: a half of them, chosen by a hash.  A round counts only if modularity rose; after one that did
+    not a smaller part moves, at last only best moves that share no community, whose gains add up
+    exactly.  So modularity rises with each round, and the rounds end without a limit on their number.
+    Graphs of at most ``small`` edges are handled in one task, with the same result.
     """
     spark = edges.sparkSession
-    if edges.limit(small + 1).count() <= small:
-        rows = [tuple(r) for r in edges.select("a", "b", "weight").collect()]
-        home = louvain([x for a, b, _ in rows for x in (a, b)], rows)
-        return spark.createDataFrame(list(home.items()), "entity string, community string")
     scratch = Scratch(spark, "communities")
-    both = scratch.write(edges.select("a", "b", "weight").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")), "both")
-    labels = scratch.write(both.select(F.col("a").alias("entity")).distinct().withColumn("community", F.col("entity")), "labels_0")
-    for i in range(1, rounds + 1):
-        pull = both.join(labels.select(F.col("entity").alias("b"), "community"), "b").groupBy("a", "community").agg(F.sum("weight").alias("w"))
-        best = pull.groupBy("a").agg(F.min_by("community", F.struct(-F.col("w"), "community")).alias("to"))
-        turn = F.pmod(F.xxhash64("entity", F.lit(i)), F.lit(2)) == 0
-        new = labels.join(best.withColumnRenamed("a", "entity"), "entity", "left")
-        new = new.select("entity", F.when(turn, F.coalesce("to", "community")).otherwise(F.col("community")).alias("community"), (F.col("to") != F.col("community")).alias("wants"))
-        new = scratch.write(new, f"labels_{i}")
-        labels = new.drop("wants")
-        if not new.where("wants").limit(1).count():
-            break
-    return labels
+    ends = edges.select(F.explode(F.array("a", "b")).alias("entity"))
+    names = (ends if nodes is None else ends.unionByName(nodes.select("entity"))).where("entity is not null").distinct()
+    # Ids in the order of the names, so that ties don't depend on how the names are spread.
+    names = scratch.write(names.orderBy("entity").select("entity", F.monotonically_increasing_id().alias("k")), "names")
+    e = edges.where("a != b").select("a", "b", F.col("weight").cast("double").alias("weight"))
+    e = e.join(names.toDF("a", "x"), "a").join(names.toDF("b", "y"), "b").select("x", "y", "weight")
+    e = scratch.write(e, "edges")
+    one = e.limit(small + 1).count() <= small
+    both = e.unionByName(e.select(F.col("y").alias("x"), F.col("x").alias("y"), "weight"))
+    degree = both.groupBy("x").agg(F.sum("weight").alias("d"))
+    start = names.join(degree, F.col("k") == F.col("x")).select("k", F.col("k").alias("c"), "d", F.xxhash64("entity").alias("h"))
+    m2 = degree.agg(F.sum("d")).first()[0]
+    if not m2:
+        return names.select("entity", F.col("entity").alias("community"))
+
+    def judged(state: DataFrame, name: str) -> tuple[DataFrame, float, int]:
+        """The state with each name's best other community and gain, its modularity, and how many names want to move."""
+        tie = both.coalesce(1) if one else both
+        at = state.coalesce(1) if one else state
+        total = at.groupBy("c").agg(F.sum("d").alias("t"))
+        pull = tie.join(at.select(F.col("k").alias("y"), "c"), "y").groupBy("x", "c").agg(F.sum("weight").alias("w")).join(total, "c")
+        own = at.join(total, "c").select("k", F.col("c").alias("c0"), "d", "h", F.col("t").alias("t0"))
+        j = pull.join(own, F.col("x") == F.col("k"))
+        other = F.col("c") != F.col("c0")
+        g = F.col("w") - F.col("d") * F.col("t") / m2
+        per = j.groupBy("k", "c0", "d", "h", "t0").agg(
+            F.max(F.when(other, F.struct(g.alias("g"), (-F.col("c")).alias("c")))).alias("best"), F.sum(F.when(~other, F.col("w")).otherwise(0.0)).alias("w0"))
+        stay = F.col("w0") - F.col("d") * (F.col("t0") - F.col("d")) / m2
+        per = per.withColumn("gain", F.coalesce(F.col("best.g") - stay, F.lit(0.0)))
+        out = per.select("k", F.col("c0").alias("c"), "d", "h", (-F.col("best.c")).alias("to"), "gain", "w0", (F.col("gain") > 1e-9 + 1e-13 * F.col("d")).alias("wants"))
+        out = scratch.write(out, name)
+        r = out.agg(F.sum("w0"), F.count_if("wants")).first()
+        tt = out.groupBy("c").agg(F.sum("d").alias("t")).agg(F.sum(F.col("t") * F.col("t"))).first()[0]
+        return out, r[0] / m2 - tt / m2 / m2, r[1]
+
+    def moved(state: DataFrame, go) -> DataFrame:
+        return state.select("k", F.when(go, F.col("to")).otherwise(F.col("c")).alias("c"), "d", "h")
+
+    now, q, wanting = judged(start, "state_0")
+    i = kept = 0
+    halvings = 1
+    while wanting:
+        i += 1
+        alone = wanting >> halvings == 0
+        if alone:
+            w = now.where("wants").select("k", F.struct((-F.col("gain")).alias("g"), "k").alias("r"), F.explode(F.array("c", "to")).alias("c"))
+            first = w.groupBy("c").agg(F.min("r").alias("r")).groupBy(F.col("r.k").alias("m")).count().where("count = 2").select("m")
+            step = moved(now.join(first, F.col("k") == F.col("m"), "left"), F.col("m").isNotNull())
+        else:
+            step = moved(now, F.col("wants") & (F.pmod(F.xxhash64("h", F.lit(i)), F.lit(1 << halvings)) == 0))
+        new, q_new, n = judged(step, f"state_{i}")
+        if alone or q_new > q + 1e-12:
+            scratch.drop(f"state_{kept}")
+            now, q, wanting, kept, halvings = new, q_new, n, i, max(1, halvings - 1)
+        else:
+            scratch.drop(f"state_{i}")
+            halvings += 1
+    homes = names.join(now.select("k", "c"), "k", "left").withColumn("c", F.coalesce("c", "k"))
+    first = homes.groupBy("c").agg(F.min("entity").alias("community"))
+    return homes.join(first, "c").select("entity", "community")
 
 
 def summaries(ents: DataFrame, homes: DataFrame, docs: DataFrame, central: int = 12, passages: int = 4) -> DataFrame:

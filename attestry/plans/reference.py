@@ -385,14 +385,15 @@ def cooccurrence_edges(s, d):
 
 @query(None)
 def graph_communities(s, d):
-    return graph.communities(graph.cooccurrence(graph.entities(table(s, d, "documents"), "doc_id")).where("weight > 1"))
+    ents = graph.entities(table(s, d, "documents"), "doc_id")
+    return graph.communities(graph.cooccurrence(ents), ents)
 
 
 @query(None)
 def graph_search(s, d):
     docs = table(s, d, "documents").select(F.col("doc_id").alias("id"), "text")
     ents = graph.entities(docs)
-    homes = graph.communities(graph.cooccurrence(ents).where("weight > 1"))
+    homes = graph.communities(graph.cooccurrence(ents), ents)
     return graph.graph_scores(ents, homes, graph.summaries(ents, homes, docs), "the copper kettle of Louskovald")
 
 
