@@ -1,14 +1,15 @@
 """Broken prompt and response pairs (problem 6): each unusable answer with the kind of its defect.
 
 Copies are found by compressing the answer with the question as a zstandard dictionary, languages and
-refusals by dictionaries, and answers that break off by a terminal-context model fitted to all pairs:
-how often, over the collection, an answer that begins with the same masked words ends right there.
+refusals by dictionaries, and answers that break off by a terminal-context model fitted to all distinct
+pairs: how often, over the collection, an answer that begins with the same masked words ends right there.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from hashlib import blake2b
 from itertools import islice
 
 import pyarrow as pa
@@ -177,23 +178,39 @@ def defects(pairs: DataFrame, id: str = "id", question: str = "question", answer
 
     The first of these that holds: ``empty``, ``refusal``, ``copies_question``, ``other_language``,
     ``truncated``.  A pair with a null or blank question can be empty, a refusal or truncated.  The
-    model counts words and beginnings of answers over all pairs; only words in at least ``frequent`` of
-    the answers, and beginnings that at least ``counted`` of them have, reach the driver, which bounds
-    both tables by the mean length of an answer.  Repeated pairs are judged each; texts are taken whole.
+    model counts words and beginnings over all distinct pairs (case and closing marks aside), so that
+    copies of a pair don't make its ending look usual; the same short answer to different questions
+    counts each time, as that tells "Three times" from a broken answer.  Only words in at least ``frequent`` of the answers,
+    and beginnings that at least ``counted`` of them have, reach the driver, which bounds both tables by
+    the mean length of an answer.  Repeated pairs are judged each; texts are taken whole.
     """
     spark, scratch = pairs.sparkSession, Scratch(pairs.sparkSession, "pairs")
     held = scratch.write(pairs.select(F.col(id).alias("pair_id"), F.col(question).alias("q"), F.col(answer).alias("a")), "pairs")
-    total = held.count()
-    df = held.select(F.explode(F.array_distinct(words("a"))).alias("w")).groupBy("w").count()
-    skeleton = {w for w, _ in df.where(F.col("count") >= max(3.0, frequent * total)).collect()} if total else set()
 
-    def beginnings(batches):
+    def parts(batches):
         for b in batches:
-            seen: dict[str, list[int]] = {}
+            seen: dict[bytes, str] = {}
             for q, a in zip(b["q"].to_pylist(), b["a"].to_pylist()):
                 if is_empty(a):
                     continue
-                m = masked(answer_part(visible(q or ""), visible(a)), skeleton)
+                asked = visible(q or "")
+                part = answer_part(asked, visible(a))
+                key = blake2b(f"{asked.lower()}\0{part.rstrip(_CLOSERS).lower()}".encode(), digest_size=16).digest()
+                seen[key] = min(part, seen.get(key, part))
+            if seen:
+                yield pa.RecordBatch.from_pydict({"key": list(seen), "part": list(seen.values())})
+
+    answers = held.select("q", "a").mapInArrow(parts, "key binary, part string").groupBy("key").agg(F.min("part").alias("part"))
+    answers = scratch.write(answers.select("part"), "answers")
+    total = answers.count()
+    df = answers.select(F.explode(F.array_distinct(words("part"))).alias("w")).groupBy("w").count()
+    skeleton = {w for w, _ in df.where(F.col("count") >= max(3.0, frequent * total)).collect()} if total else set()
+
+    def beginnings(batches):
+        for b in batches:
+            seen: dict[str, list[int]] = {}
+            for part in b["part"].to_pylist():
+                m = masked(part, skeleton)
                 for k in range(1, min(len(m), DEPTH) + 1):
                     c = seen.setdefault(" ".join(m[:k]), [0, 0])
                     c[0] += 1
@@ -205,7 +222,7 @@ def defects(pairs: DataFrame, id: str = "id", question: str = "question", answer
             if seen:
                 yield pa.RecordBatch.from_pydict({"begins": list(seen), "n": [c[0] for c in seen.values()], "ended": [c[1] for c in seen.values()]})
 
-    sums = held.select("q", "a").mapInArrow(beginnings, "begins string, n long, ended long").groupBy("begins").agg(F.sum("n").alias("n"), F.sum("ended").alias("ended"))
+    sums = answers.mapInArrow(beginnings, "begins string, n long, ended long").groupBy("begins").agg(F.sum("n").alias("n"), F.sum("ended").alias("ended"))
     ends = {r.begins: (r.n, r.ended) for r in sums.where(F.col("n") >= max(float(at_least), counted * total)).collect()} if total else {}
 
     def judge(batches):

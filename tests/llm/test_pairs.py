@@ -60,3 +60,13 @@ def test_empty_and_long(spark):
     long = "The weaver said that the boat was old. " * 20_000
     got = rows(pairs.defects(spark.createDataFrame([("a", Q, long), ("b", Q, long + "And then the"), ("c", long, long)], schema)))
     assert got == [("b", "truncated"), ("c", "copies_question")]
+
+
+def test_copies_of_a_broken_answer_do_not_vouch_for_it(spark):
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abdefgiklmnoprstu") for _ in range(n))
+    full = [f"They agreed to share the {word(6)}, although {word(5).title()} still feared the miller." for _ in range(200)]
+    recs = [(f"f{i}", Q, a) for i, a in enumerate(full)]
+    recs += [(f"c{i}", [Q, Q.upper(), " " + Q][i % 3], ["They agreed to share the", "They agreed to share the ", "THEY AGREED to share the"][i % 3]) for i in range(100)]
+    d = spark.createDataFrame(recs, "id string, question string, answer string")
+    assert rows(pairs.defects(d)) == sorted((f"c{i}", "truncated") for i in range(100))
