@@ -110,9 +110,32 @@ class Forest:
         return (lost.join(on, F.col("anc") == F.col("h")).join(member, F.col("k") == F.col("m"), "left")
                 .select("id", "k", "cycle_id", F.col("m").isNotNull().alias("on_ring")))
 
-    def descendants(self) -> DataFrame:
-        """(ancestor, descendant, distance) for every pair; each node's path already names its ancestors."""
+    def descendants(self, rings: bool = False) -> DataFrame:
+        """(ancestor, descendant, distance) for every pair of resolved nodes and, with ``rings``, of all nodes.
+
+        Each node's path already names its ancestors.  A node on or below a ring has every member of it as
+        ancestor, at the distance at which it is first reached; no node is its own descendant.
+        """
         if not self.paths:
             raise ValueError("descendants need paths")
-        up = self.nodes.select(F.col("id").alias("descendant"), "depth", F.posexplode("path").alias("pos", "ancestor"))
+        up = self._up(self.nodes)
+        return up.unionByName(self._ring_descendants()) if rings and self._todo is not None else up
+
+    @staticmethod
+    def _up(nodes: DataFrame) -> DataFrame:
+        up = nodes.select(F.col("id").alias("descendant"), "depth", F.posexplode("path").alias("pos", "ancestor"))
         return up.where("pos < depth").select("ancestor", "descendant", (F.col("depth") - F.col("pos")).alias("distance"))
+
+    def _ring_descendants(self) -> DataFrame:
+        # Without the parent link of its smallest member a ring is a chain and all that hangs below it a tree.
+        rings = self.rings.select("k", "cycle_id", "on_ring")
+        open_ = self.edges.join(rings.select("k", "cycle_id"), "k").select("id", F.when(F.col("id") != F.col("cycle_id"), F.col("pk")).alias("pk"))
+        cut = Forest(open_, "id", "pk")
+        held = self.scratch.write(cut.nodes.join(rings, "k").select("id", "depth", "path", "cycle_id", "on_ring"), "cut")
+        member = held.where("on_ring").select(F.col("id").alias("ancestor"), F.col("depth").alias("place"), F.col("cycle_id").alias("c"))
+        # The members behind the one where a node's path enters the ring are reached through the removed link.
+        enters = held.select("id", F.explode("path").alias("ancestor")).join(member, "ancestor").groupBy("id").agg(F.max("place").alias("enters"))
+        size = member.groupBy("c").agg(F.count(F.lit(1)).cast("int").alias("size"))
+        behind = held.select("id", "depth", "cycle_id").join(enters, "id").join(member.join(size, "c"), (F.col("cycle_id") == F.col("c")) & (F.col("place") > F.col("enters")))
+        behind = behind.select("ancestor", F.col("id").alias("descendant"), (F.col("depth") + F.col("size") - F.col("place")).alias("distance"))
+        return self._up(held).unionByName(behind)

@@ -28,6 +28,11 @@ def p2_descendants(spark, sf_dir):
     return evidence.project_forest(spark, sf_dir).descendants().withColumn("distance", F.col("distance").cast("long"))
 
 
+def p2_all_descendants(spark, sf_dir):
+    """The pairs of p2_descendants and those of projects on or below a ring."""
+    return evidence.project_forest(spark, sf_dir).descendants(rings=True).withColumn("distance", F.col("distance").cast("long"))
+
+
 def p4_found(spark, sf_dir):
     return evidence.orphan_references(spark, sf_dir).select("holder", "field", "holder_id", "ref_id")
 
@@ -56,6 +61,13 @@ P2_DESCENDANTS = f"""WITH RECURSIVE {_DOWN}
 SELECT a.anc ancestor, d.id descendant, d.depth - (a.i - 1) distance FROM down d,
   LATERAL (SELECT unnest(string_split(d.path, '/')) anc, unnest(generate_series(1::BIGINT, d.depth + 1)) i) a WHERE a.i <= d.depth"""
 
+# Each project's parents are followed until the next one has been met before; the project itself doesn't count.
+P2_ALL_DESCENDANTS = f"""WITH RECURSIVE {_HELD},
+up(k, anc, seen, distance) AS (SELECT k, pk, [pk], 1::BIGINT FROM e WHERE pk IS NOT NULL AND pk <> k
+  UNION ALL SELECT up.k, e.pk, list_append(up.seen, e.pk), up.distance + 1 FROM up JOIN e ON up.anc = e.k
+  WHERE e.pk IS NOT NULL AND e.pk <> up.k AND NOT list_contains(up.seen, e.pk))
+SELECT a.id ancestor, d.id descendant, distance FROM up JOIN e a ON a.k = up.anc JOIN e d ON d.k = up.k"""
+
 _P4 = f"""t AS (SELECT {norm('id')} id, CASE WHEN coalesce({norm('lifecycle')} <> 'deleted', true) THEN recordedAt END born,
    least(CASE WHEN {norm('lifecycle')} = 'deleted' THEN recordedAt END, deletedAt) gone FROM passages
   UNION ALL SELECT {norm('id')}, CASE WHEN coalesce({norm('lifecycle')} <> 'deleted', true) THEN recordedAt END,
@@ -84,6 +96,7 @@ QUERIES = {
     "p2_found": (p2_found, P2_FOUND),
     "p2_hierarchy": (p2_hierarchy, P2_HIERARCHY),
     "p2_descendants": (p2_descendants, P2_DESCENDANTS),
+    "p2_all_descendants": (p2_all_descendants, P2_ALL_DESCENDANTS),
     "p4_found": (p4_found, P4_FOUND),
     "p4_by_month": (p4_by_month, P4_BY_MONTH),
 }

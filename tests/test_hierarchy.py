@@ -71,3 +71,18 @@ def test_written_tables_go_to_the_shared_folder_and_can_be_cleared(spark, tmp_pa
     assert list((tmp_path / "shared").glob("attestry-forest-*/state_0"))
     scratch.clear(spark)
     assert not list((tmp_path / "shared").glob("attestry-*"))
+
+
+def test_descendants_on_and_below_rings(spark):
+    rng = random.Random(8)
+    nodes = [f"x{i}" for i in range(40)]
+    ring = [(f"r{i}", f"r{(i + 1) % 7}") for i in range(7)] + [("t0", "r3"), ("t1", "t0"), ("t2", "t0"), ("u0", "r6"), ("a", None), ("b", "a"), ("s", "s"), ("v", "s")]
+    for pairs in (ring, [(n, rng.choice(nodes)) for n in nodes], [("a", None), ("b", "a")], []):
+        up, want = dict(pairs), []
+        for n in up:
+            at, seen = up[n], []
+            while at is not None and at != n and at not in seen:
+                seen.append(at)
+                at = up[at]
+            want += [(a, n, i + 1) for i, a in enumerate(seen)]
+        assert rows(Forest(spark.createDataFrame(pairs, SCHEMA)).descendants(rings=True)) == sorted(want, key=repr)
