@@ -68,10 +68,10 @@ def is_empty(text: str | None) -> bool:
     return not core or not _LETTERS.search(core) or core.lower() in STAND_INS
 
 
-def masked(text: str, skeleton: set[str]) -> list[str]:
-    """Frequent words and marks as they are, other words by their shape."""
+def masked(text: str, skeleton: set[str], most: int | None = DEPTH + 1) -> list[str]:
+    """Frequent words and marks as they are, other words by their shape; the first ``most`` of them (null: all)."""
     out = []
-    for m in islice(_WORD.finditer(text), DEPTH + 1):
+    for m in islice(_WORD.finditer(text), most):
         w = m.group()
         low = w.lower()
         out.append(low if low in skeleton or not w[0].isalnum() else "9" if w[0].isdigit() else "X" if w[0].isupper() else "w")
@@ -210,11 +210,12 @@ def defects(pairs: DataFrame, id: str = "id", question: str = "question", answer
         for b in batches:
             seen: dict[str, list[int]] = {}
             for part in b["part"].to_pylist():
-                m = masked(part, skeleton)
+                m = masked(part, skeleton, None)
                 for k in range(1, min(len(m), DEPTH) + 1):
                     c = seen.setdefault(" ".join(m[:k]), [0, 0])
                     c[0] += 1
                     c[1] += k == len(m)
+                for k in range(1, len(m) + 1):
                     if m[k - 1] in skeleton:
                         c = seen.setdefault(ANYWHERE + m[k - 1], [0, 0])
                         c[0] += 1

@@ -70,3 +70,13 @@ def test_copies_of_a_broken_answer_do_not_vouch_for_it(spark):
     recs += [(f"c{i}", [Q, Q.upper(), " " + Q][i % 3], ["They agreed to share the", "They agreed to share the ", "THEY AGREED to share the"][i % 3]) for i in range(100)]
     d = spark.createDataFrame(recs, "id string, question string, answer string")
     assert rows(pairs.defects(d)) == sorted((f"c{i}", "truncated") for i in range(100))
+
+
+def test_words_are_counted_wherever_they_stand(spark):
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("abdefgiklmnoprstu") for _ in range(n))
+    # "first" ends no sentence within the first words of an answer, but most of them further on.
+    full = [f"When the first {word(5)} of {word(6).title()} came home that evening, the {word(6)} was old, so {word(5).title()} took it first." for _ in range(60)]
+    full += [f"{word(5).title()} said that {word(6)} and {word(4)} came to the {word(6)} with a {word(5)}, and {word(5).title()} went first." for _ in range(60)]
+    recs = [(f"f{i}", f"{Q} {i}", a) for i, a in enumerate(full)] + [("short", Q, "Anna went first"), ("cut", Q, "Anna went the")]
+    assert rows(pairs.defects(spark.createDataFrame(recs, "id string, question string, answer string"))) == [("cut", "truncated")]
