@@ -40,6 +40,11 @@ def p5_ngrams(spark, sf_dir):
     return knowledge.term_counts(spark, sf_dir, 5).where("field = 'criterion'").select("field", "ngram", "n", "occurrences", "records")
 
 
+def p5_all_ngrams(spark, sf_dir):
+    """As p5_ngrams, of any length."""
+    return knowledge.term_counts(spark, sf_dir, None).where("field = 'criterion'").select("field", "ngram", "n", "occurrences", "records")
+
+
 def p6_found(spark, sf_dir):
     return knowledge.broken_pairs(spark, sf_dir)
 
@@ -92,6 +97,7 @@ QUERIES = {
     "p5_found": (p5_found, sql.P5_FOUND),
     "p5_terms": (p5_terms, sql.P5_TERMS),
     "p5_ngrams": (p5_ngrams, sql.P5_NGRAMS),
+    "p5_all_ngrams": (p5_all_ngrams, sql.P5_ALL_NGRAMS),
     "p6_found": (p6_found, None),
     "p6_by_kind": (p6_by_kind, None),
     "p7_found": (p7_found, None),

@@ -28,6 +28,11 @@ g AS (SELECT id, i, k, list_aggregate(a[i:i + k - 1], 'string_agg', ' ') ngram F
   (SELECT id, a, unnest(generate_series(1::BIGINT, len(a))) i FROM w), generate_series(1::BIGINT, 5::BIGINT) s(k) WHERE i + k - 1 <= len(a))
 SELECT 'criterion' field, ngram, k n, count(*) occurrences, count(DISTINCT id) records FROM g GROUP BY ngram, k"""
 
+P5_ALL_NGRAMS = rf"""WITH w AS (SELECT id, regexp_extract_all(lower(criterion), '[\p{{L}}\p{{N}}]+') a FROM {held('findings')}),
+s AS (SELECT id, a, unnest(generate_series(1::BIGINT, len(a))) i FROM w), k AS (SELECT id, a, i, unnest(generate_series(1::BIGINT, len(a) - i + 1)) k FROM s),
+g AS (SELECT id, k, list_aggregate(a[i:i + k - 1], 'string_agg', ' ') ngram FROM k)
+SELECT 'criterion' field, ngram, k n, count(*) occurrences, count(DISTINCT id) records FROM g GROUP BY ngram, k"""
+
 _WORDS = rf"""w AS (SELECT id, list_distinct(regexp_extract_all(lower(t), '[\p{{L}}\p{{N}}]+')) a FROM (
   SELECT id, question t FROM {held('questions')} UNION ALL SELECT itemId, question FROM {held('checkpoint_items', 'itemId')}))"""
 P3_FOUND = f"""WITH {_WORDS}

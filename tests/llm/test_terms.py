@@ -39,3 +39,15 @@ def test_marks(spark):
     c = spark.createDataFrame([("x", "a", 2), ("x", "b", 3), ("x", "c", 15), ("x", "d", 16), ("y", "e", 2)], "field string, ngram string, records long")
     n = spark.createDataFrame([("x", 100), ("y", 2)], "field string, n_records long")
     assert rows(terms.marked(c, n), "ngram", "mark") == [("a", "rare"), ("b", None), ("c", None), ("d", "common"), ("e", "rare")]
+
+
+def test_query_of_ngrams_of_any_length(spark, tmp_path):
+    from attestry.llm import queries
+
+    at = "timestamp '2024-01-01 00:00:00'"
+    f = spark.createDataFrame([("f1", "one two three four five six seven"), ("f2", "Two three, four"), ("f3", None)], "id string, criterion string")
+    f.selectExpr("*", f"{at} as recordedAt").write.parquet(f"{tmp_path}/findings.parquet")
+    q = spark.createDataFrame([("q1", "themes")], "id string, category string")
+    q.selectExpr("*", f"{at} as recordedAt").write.parquet(f"{tmp_path}/questions.parquet")
+    got = rows(queries.QUERIES["p5_all_ngrams"][0](spark, str(tmp_path)))
+    assert got == sorted(plain([("criterion", "one two three four five six seven".split()), ("criterion", "two three four".split())], None), key=repr)
