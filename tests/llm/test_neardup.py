@@ -36,8 +36,9 @@ def edited(rng, words, vocab, n):
     return w
 
 
-@pytest.mark.parametrize("seed,low,high,postings", [(1, 3, 12, 12.0), (2, 15, 30, 1.0), (3, 40, 90, 12.0), (4, 1, 5, 100.0)])
-def test_every_pair_of_random_edits(spark, seed, low, high, postings):
+@pytest.mark.parametrize("seed,low,high,postings,limit", [(1, 3, 12, 12.0, 10**9), (2, 15, 30, 1.0, 4), (3, 25, 90, 12.0, 10**9), (4, 1, 5, 100.0, 2), (5, 100, 250, 12.0, 3)])
+def test_every_pair_of_random_edits(spark, seed, low, high, postings, limit):
+    """With a small ``limit`` nearly every run is frequent, so runs are made longer and lists divided."""
     rng = random.Random(seed)
     common = [f"c{i}" for i in range(12)]
     vocab = common * 6 + [f"w{i}" for i in range(150)]
@@ -47,7 +48,7 @@ def test_every_pair_of_random_edits(spark, seed, low, high, postings):
         for j in range(rng.randint(1, 4)):
             recs.append((f"r{g:02}-{j}", " ".join(edited(rng, base, vocab, rng.randint(0, max(1, len(base) // 4)))) + rng.choice(["", ".", " !"])))
     recs += [("e1", None), ("e2", ""), ("e3", " ?! "), ("e4", "?")]
-    got = rows(neardup.NearDuplicates(spark.createDataFrame(recs, "id string, text string"), postings=postings).record_pairs())
+    got = rows(neardup.NearDuplicates(spark.createDataFrame(recs, "id string, text string"), postings=postings, limit=limit, every=1).record_pairs())
     assert got == plain(recs)
 
 
@@ -63,6 +64,30 @@ def test_groups_classes_and_long_texts(spark):
     assert n.members.count() == 7
 
 
+def test_no_side_is_broadcast(spark):
+    d = spark.createDataFrame([(str(i), f"the old boat of w{i} and w{i % 7} came home to the w{i % 5} mill") for i in range(60)], "id string, text string")
+    n = neardup.NearDuplicates(d)
+    for df in (n.record_pairs(), n.groups()):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    assert rows(n.record_pairs()) == plain([tuple(r) for r in d.collect()])
+
+
+def test_hot_runs_are_divided_evenly():
+    """Any two records of a divided list meet in exactly one cell more than not at all, and no cell holds more than two parts."""
+    at = {c: {k for k, _ in neardup._divided(12345, 0, c, 7)} for c in range(300)}
+    assert all(at[x] & at[y] for x in at for y in at)
+    cells = [sum(k in s for s in at.values()) for k in set().union(*at.values())]
+    assert len(cells) == 28 and max(cells) < 300 * 2 / 7 * 1.6
+
+
+def test_bands_join_every_possible_pair():
+    for n in range(1, 400):
+        for m in range(n, 600):
+            if 10 * n >= 7 * m:
+                assert set(neardup.bands(n, 7, 10)) & set(neardup.bands(m, 7, 10))
+    assert all(len(neardup.bands(n, 7, 10)) <= 2 for n in range(1, 3000))
+
+
 def test_chain_of_links_is_one_group(spark):
     from attestry.scratch import Scratch
 
