@@ -11,13 +11,13 @@ from attestry.scratch import Scratch
 from attestry.tables import latest, table
 
 
-def term_counts(spark: SparkSession, sf_dir: str, max_n: int | None) -> DataFrame:
-    """Counts and marks of criterion n-grams and category values."""
+def term_counts(spark: SparkSession, sf_dir: str, report_n: int | None) -> DataFrame:
+    """Counts and marks of criterion n-grams and category values, from the uncut suffix array."""
     f = latest(table(spark, sf_dir, "findings"), "id", ["criterion"]).select(F.lit("criterion").alias("field"), words("criterion").alias("tokens"))
     q = latest(table(spark, sf_dir, "questions"), "id", ["category"]).select(F.lit("category").alias("field"), F.array(hyphened("category")).alias("tokens"))
     records = f.unionByName(q)
     totals = records.groupBy("field").agg(F.count(F.lit(1)).alias("n_records"))
-    return terms.marked(terms.ngrams(records, max_n=max_n), totals)
+    return terms.marked(terms.ngrams(records, max_n=None, report_n=report_n), totals)
 
 
 def document_sizes(spark: SparkSession, sf_dir: str, keep: list[str]) -> DataFrame:

@@ -41,7 +41,7 @@ def p5_ngrams(spark, sf_dir):
 
 
 def p5_all_ngrams(spark, sf_dir):
-    """As p5_ngrams, of any length."""
+    """The n-grams of p5_ngrams and all longer ones."""
     return knowledge.term_counts(spark, sf_dir, None).where("field = 'criterion'").select("field", "ngram", "n", "occurrences", "records")
 
 
@@ -93,7 +93,7 @@ QUERIES = {
     "p1_sample": (p1_sample, None),
     "p1_report": (p1_report, None),
     "p3_found": (p3_found, sql.P3_FOUND),
-    "p3_groups": (p3_groups, None),
+    "p3_groups": (p3_groups, sql.P3_GROUPS),
     "p5_found": (p5_found, sql.P5_FOUND),
     "p5_terms": (p5_terms, sql.P5_TERMS),
     "p5_ngrams": (p5_ngrams, sql.P5_NGRAMS),

@@ -39,6 +39,12 @@ P3_FOUND = f"""WITH {_WORDS}
 SELECT DISTINCT x.id id_a, y.id id_b FROM w x JOIN w y ON x.id < y.id AND len(x.a) > 0 AND len(y.a) >= 0.7 * len(x.a) AND len(x.a) >= 0.7 * len(y.a)
   AND len(list_intersect(x.a, y.a)) * 17 >= 7 * (len(x.a) + len(y.a))"""
 
+P3_GROUPS = f"""WITH RECURSIVE {_WORDS}, m AS (SELECT id, list_sort(a) a FROM w WHERE len(a) > 0), c AS (SELECT a, min(id) cid FROM m GROUP BY a),
+p AS (SELECT x.cid u, y.cid v FROM c x JOIN c y ON x.cid <> y.cid AND len(y.a) >= 0.7 * len(x.a) AND len(x.a) >= 0.7 * len(y.a) AND len(list_intersect(x.a, y.a)) * 17 >= 7 * (len(x.a) + len(y.a))),
+r(u, v) AS (SELECT cid, cid FROM c UNION SELECT r.u, p.v FROM r JOIN p ON r.v = p.u), g AS (SELECT u cid, min(v) root FROM r GROUP BY u), l AS (SELECT u cid, count(*) links FROM p GROUP BY u),
+j AS (SELECT m.id, root, coalesce(links, 0) links FROM m JOIN c USING (a) JOIN g USING (cid) LEFT JOIN l USING (cid)), s AS (SELECT root, min(id) group_id, count(*) group_size FROM j GROUP BY root)
+SELECT id, group_id, group_size, links FROM j JOIN s USING (root)"""
+
 P1_FOUND = f"""WITH q AS (SELECT id, {norm('sourceId')} s, {hyphened('category')} c FROM {held('questions')}),
 s AS (SELECT DISTINCT s FROM q WHERE s IS NOT NULL),
 n AS (SELECT s, c, count(DISTINCT id) n FROM q GROUP BY 1, 2)

@@ -35,6 +35,22 @@ def test_long_record_and_empty(spark):
     assert terms.ngrams(spark.createDataFrame([], "field string, tokens array<string>")).count() == 0
 
 
+def test_suffix_array_of_long_records():
+    rng = random.Random(3)
+    for m, alphabet in ((65, "a"), (300, "ab"), (500, "abcdefgh"), (80, ["x", "xy", "é"])):
+        ts = [rng.choice(alphabet) for _ in range(m)]
+        order, shared = terms.suffix_array(ts)
+        assert order == sorted(range(m), key=lambda i: ts[i:])
+        assert shared == [terms.common(ts[order[k - 1] :], ts[i:]) if k else 0 for k, i in enumerate(order)]
+
+
+def test_reported_depth_of_the_uncut_array(spark):
+    rng = random.Random(8)
+    recs = [("x", [rng.choice("abcdefghij") for _ in range(m)]) for m in (1500, 5, 90, 0)] + [("x", ["a", "b", "a", "b"])] * 5
+    d = spark.createDataFrame(recs, "field string, tokens array<string>")
+    assert rows(terms.ngrams(d, max_n=None, report_n=2)) == sorted(plain(recs, 2), key=repr)
+
+
 def test_marks(spark):
     c = spark.createDataFrame([("x", "a", 2), ("x", "b", 3), ("x", "c", 15), ("x", "d", 16), ("y", "e", 2)], "field string, ngram string, records long")
     n = spark.createDataFrame([("x", 100), ("y", 2)], "field string, n_records long")
