@@ -37,6 +37,16 @@ def check(spark, pairs):
     assert rows(f.descendants()) == sorted(want, key=repr)
 
 
+def test_rounds_shuffle_no_paths_and_broadcast_nothing(spark):
+    chain = [("a0", None)] + [(f"a{i}", f"a{i - 1}") for i in range(1, 40)] + [(f"leaf{i}", "a39") for i in range(50)] + [("x", "y"), ("y", "x"), ("z", "x")]
+    d = spark.createDataFrame(chain, SCHEMA)
+    f = Forest(d)
+    assert f.nodes.count() == 90 and f.rings.count() == 3
+    for df in (f.nodes, f.rings, f.descendants(rings=True)):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    assert "path" not in Forest(d, paths=False).nodes.columns
+
+
 def test_chains_rings_and_dirt(spark):
     check(spark, [("a", None), ("b", "a"), ("c", " B "), ("d", ""), ("e", "nowhere"), ("f", "f"), ("g", "f"), ("h", "j"), ("i", "h"), ("j", "i"), ("k", "i"), ("l", "k"), (None, "a"), ("  ", "a")])
 
@@ -68,7 +78,7 @@ def test_written_tables_go_to_the_shared_folder_and_can_be_cleared(spark, tmp_pa
     monkeypatch.setattr(scratch, "shared_root", lambda s: f"file://{tmp_path}/shared")
     monkeypatch.setattr(scratch, "_WRITTEN", [])
     check(spark, [("a", None), ("b", "a")])
-    assert list((tmp_path / "shared").glob("attestry-forest-*/state_0"))
+    assert list((tmp_path / "shared").glob("attestry-forest-*/edges"))
     scratch.clear(spark)
     assert not list((tmp_path / "shared").glob("attestry-*"))
 
