@@ -9,7 +9,7 @@ from attestry.tables import table
 
 
 def p1_found(spark, sf_dir):
-    return knowledge.balanced_sample(spark, sf_dir).report.where("short").select("source_id", "category")
+    return knowledge.balanced_sample(spark, sf_dir).report.where("unmet = 'supply'").select("source_id", "category")
 
 
 def p1_sample(spark, sf_dir):
@@ -20,6 +20,16 @@ def p1_report(spark, sf_dir):
     return knowledge.balanced_sample(spark, sf_dir).report
 
 
+def p1_supply(spark, sf_dir):
+    """What each source has of what is wanted of it."""
+    return knowledge.balanced_sample(spark, sf_dir).report.select("source_id", "category", "wanted", "available", F.col("unmet").eqNullSafe("supply").alias("lacks"))
+
+
+def p1_totals(spark, sf_dir):
+    """Size of each source's sample and how many different records it holds; none for sources without any eligible record."""
+    return knowledge.balanced_sample(spark, sf_dir).sample.groupBy("source_id").agg(F.count(F.lit(1)).alias("n_sampled"), F.countDistinct("id").alias("n_ids"))
+
+
 def p3_found(spark, sf_dir):
     return knowledge.near_duplicates(spark, sf_dir).record_pairs()
 
@@ -92,6 +102,8 @@ QUERIES = {
     "p1_found": (p1_found, sql.P1_FOUND),
     "p1_sample": (p1_sample, None),
     "p1_report": (p1_report, None),
+    "p1_supply": (p1_supply, sql.P1_SUPPLY),
+    "p1_totals": (p1_totals, sql.P1_TOTALS),
     "p3_found": (p3_found, sql.P3_FOUND),
     "p3_groups": (p3_groups, sql.P3_GROUPS),
     "p5_found": (p5_found, sql.P5_FOUND),

@@ -101,7 +101,10 @@ class BalancedSample:
     * ``sample``: (source_id, category, id);
     * ``report``: per source and target category: available (different ids), wanted (the larger of
       min_keep and the rounded share), quota (expected count), sampled, sampled_share, imbalance
-      (sampled less quota) and short (available below wanted).
+      (sampled less target_share x ``size``), residual (sampled less quota: what the landing left over),
+      short (sampled below wanted) and unmet: ``supply`` if the source has fewer records than wanted,
+      ``size`` if it has enough but the wanted counts of all categories add up to more than ``size`` or
+      the landing gave the place to another category, null if the target is met.
 
     Sources are compared without case and surrounding white space, categories also with runs of white
     space and underscores as one hyphen.  Records without id or source belong to no source; those of
@@ -138,7 +141,7 @@ class BalancedSample:
                 yield pd.DataFrame({"source_id": b["source_id"], "have": have.astype(np.int64).tolist(), "quota": q.tolist(), "blocks": np.maximum(1, -(-have.sum(1) // block)).astype(np.int64)})
 
         per = scratch.write(per.mapInPandas(allot, "source_id string, have array<long>, quota array<double>, blocks long"), "quotas")
-        todo = (rows.where("c is not null").join(per, "source_id")
+        todo = (rows.where("c is not null").hint("merge").join(per, "source_id")
                 .select("source_id", "c", "id", (F.col("quota")[F.col("c")] / F.col("have")[F.col("c")]).alias("pi"), "blocks",
                         F.pmod(F.xxhash64(F.lit(seed), "id"), "blocks").alias("block"), F.xxhash64(F.lit(seed + 1), "id").alias("at"))
                 .where("pi > 0"))
@@ -163,13 +166,14 @@ class BalancedSample:
         cats = F.array(*[F.struct(F.lit(i).alias("c"), F.lit(r.category).alias("category"), F.lit(float(r.share)).alias("target_share"), F.lit(int(r.least)).alias("min_keep"),
                                   F.lit(max(int(r.least), math.floor(r.share * size + 0.5 + _EPS))).cast("long").alias("wanted")) for i, r in enumerate(t)])
         if not t:
-            self.report = per.where("false").selectExpr("source_id", "cast(null as string) category", "0D target_share", "0 min_keep", "0L wanted", "0L available", "0D quota", "0L sampled", "0D sampled_share", "0D imbalance", "false short")
+            self.report = per.where("false").selectExpr("source_id", "cast(null as string) category", "0D target_share", "0 min_keep", "0L wanted", "0L available", "0D quota", "0L sampled", "0D sampled_share", "0D imbalance", "0D residual", "false short", "cast(null as string) unmet")
             return
         wide = per.select("source_id", F.explode(cats).alias("t"), "have", "quota").select("source_id", "t.*", F.col("have")[F.col("t.c")].alias("available"), F.col("quota")[F.col("t.c")].alias("quota"))
-        j = wide.join(got, ["source_id", "c"], "left").join(whole, "source_id", "left")
+        j = wide.hint("merge").join(got, ["source_id", "c"], "left").hint("merge").join(whole, "source_id", "left")
         sampled = F.coalesce("sampled", F.lit(0))
-        self.report = j.select("source_id", "category", "target_share", "min_keep", "wanted", "available", F.round("quota", 6).alias("quota"), sampled.alias("sampled"),
-                               F.round(sampled / F.col("whole"), 6).alias("sampled_share"), F.round(sampled - F.col("quota"), 6).alias("imbalance"), (F.col("available") < F.col("wanted")).alias("short"))
+        lacking = F.when(F.col("available") < F.col("wanted"), "supply").when(sampled < F.col("wanted"), "size")
+        self.report = j.select("source_id", "category", "target_share", "min_keep", "wanted", "available", F.round("quota", 6).alias("quota"), sampled.alias("sampled"), F.round(sampled / F.col("whole"), 6).alias("sampled_share"),
+                               F.round(sampled - F.col("target_share") * size, 6).alias("imbalance"), F.round(sampled - F.col("quota"), 6).alias("residual"), (sampled < F.col("wanted")).alias("short"), lacking.alias("unmet"))
 
 
 def _flyer(seed: int, level: int):

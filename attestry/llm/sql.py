@@ -45,8 +45,10 @@ r(u, v) AS (SELECT cid, cid FROM c UNION SELECT r.u, p.v FROM r JOIN p ON r.v =
 j AS (SELECT m.id, root, coalesce(links, 0) links FROM m JOIN c USING (a) JOIN g USING (cid) LEFT JOIN l USING (cid)), s AS (SELECT root, min(id) group_id, count(*) group_size FROM j GROUP BY root)
 SELECT id, group_id, group_size, links FROM j JOIN s USING (root)"""
 
-P1_FOUND = f"""WITH q AS (SELECT id, {norm('sourceId')} s, {hyphened('category')} c FROM {held('questions')}),
-s AS (SELECT DISTINCT s FROM q WHERE s IS NOT NULL),
-n AS (SELECT s, c, count(DISTINCT id) n FROM q GROUP BY 1, 2)
-SELECT s.s source_id, t.category FROM s CROSS JOIN category_targets t LEFT JOIN n ON n.s = s.s AND n.c = t.category
-WHERE coalesce(n.n, 0) < greatest(t.min_keep, round(t.target_share * 25))"""
+_WANTED = f"""q AS (SELECT id, {norm('sourceId')} s, {hyphened('category')} c FROM {held('questions')}),
+s AS (SELECT DISTINCT s FROM q WHERE s IS NOT NULL), n AS (SELECT s, c, count(DISTINCT id) n FROM q GROUP BY 1, 2),
+r AS (SELECT s.s source_id, t.category, greatest(t.min_keep, round(t.target_share * 25))::BIGINT wanted, coalesce(n.n, 0) available
+  FROM s CROSS JOIN category_targets t LEFT JOIN n ON n.s = s.s AND n.c = t.category)"""
+P1_FOUND = f"WITH {_WANTED} SELECT source_id, category FROM r WHERE available < wanted"
+P1_SUPPLY = f"WITH {_WANTED} SELECT source_id, category, wanted, available, available < wanted lacks FROM r"
+P1_TOTALS = f"WITH {_WANTED} SELECT source_id, least(25, sum(available))::BIGINT n_sampled, least(25, sum(available))::BIGINT n_ids FROM r GROUP BY 1 HAVING sum(available) > 0"

@@ -55,6 +55,20 @@ def test_sample_of_hot_and_small_sources(spark, block, fan):
     assert abs(sum(r["hot", c].imbalance for c in ("factual", "causal", "contrast"))) < 1e-6
 
 
+def test_crowded_targets_are_reported(spark):
+    """Where the wanted counts add up to more than the sample holds, what comes short is reported though the source has enough."""
+    t = spark.createDataFrame([("a", 0.9, 0), ("b", 0.1, 4), ("c", 0.0, 4), ("d", 0.0, 2)], TS)
+    d = spark.createDataFrame([(f"{c}{i}", "s", c) for c in "abc" for i in range(50)] + [("d0", "s", "d")], QS)
+    b = BalancedSample(d, t, size=10)
+    r = {x.category: x for x in b.report.collect()}
+    assert sum(x.sampled for x in r.values()) == 10 and all(x.short == (x.sampled < x.wanted) for x in r.values())
+    assert r["a"].available >= r["a"].wanted == 9 and r["a"].short and r["a"].unmet == "size" and abs(r["a"].imbalance - (r["a"].sampled - 9)) < 1e-6
+    assert r["d"].unmet == "supply" and r["d"].sampled == 1 and r["b"].unmet is None and r["c"].unmet is None
+    t = spark.createDataFrame([("a", 0.5, 9), ("b", 0.5, 9)], TS)
+    r = {x.category: x for x in BalancedSample(d, t, size=10).report.collect()}
+    assert {x.sampled for x in r.values()} == {5} and all(x.unmet == "size" and x.short for x in r.values())
+
+
 def test_fractional_quotas_keep_the_size(spark):
     t = spark.createDataFrame([("a", 1 / 3, 0), ("b", 1 / 3, 0), ("c", 1 / 3, 0)], TS)
     d = spark.createDataFrame([(f"{s}{c}{i}", s, c) for s in ("x", "y", "z") for c in "abc" for i in range(30)], QS)
