@@ -39,7 +39,7 @@ USUAL, DEEPEST = 3, 6
 #: A run that more than LIMIT records have, by one record in EVERY, is frequent; of those the HOTTEST are made longer or divided.
 LIMIT, EVERY, HOTTEST = 16_384, 64, 100_000
 #: Rows of the index in one partition.
-ROWS = 600_000
+ROWS = 300_000
 _MASK = (1 << 64) - 1
 _MIX = 0x9E3779B97F4A7C15
 
