@@ -1,16 +1,20 @@
 """Broken prompt and response pairs (problem 6): each unusable answer with the kind of its defect.
 
-Copies are found by compressing the answer with the question as a zstandard dictionary, languages and
-refusals by dictionaries, and answers that break off by a terminal-context model fitted to all distinct
-pairs: how often, over the collection, an answer that begins with the same masked words ends right there.
+Copies are found by compressing the answer with the question as a zstandard dictionary; languages by
+dictionaries of function words, to which the collection adds words that it uses in one language only;
+refusals by dictionaries of who speaks, what is denied and what was asked.  Answers that break off are
+found by a terminal-context model over all distinct pairs: how often, after the last masked words of an
+answer, answers end there without a full stop, backing off from longer to shorter contexts; and by
+last words that are only the beginning of a known word.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
+from dataclasses import dataclass, field
 from hashlib import blake2b
-from itertools import islice
 
 import pyarrow as pa
 import regex
@@ -27,21 +31,31 @@ STAND_INS = {
     "not available", "answer missing", "missing", "left blank", "keine antwort", "keine angabe", "k.a", "ohne antwort", "leer", "fehlt", "sans réponse", "pas de réponse", "aucune réponse", "réponse manquante",
     "vide", "sin respuesta", "ninguna respuesta", "no hay respuesta", "respuesta pendiente", "vacío", "s/r",
 }
-# Words that only one of the four languages uses.
+# Function words of languages; a word may be in several.
 LANGUAGES = {
-    "en": "the and of to had it that for who with would not but his her they at by from on under because before after still said kept been whose which when what where why how nobody yes twice times will is are there".split(),
-    "de": "der die das und nicht mit von dem den ein eine einen sie er war ist zu auf im weil dass bei nach bevor als aber für wollte nahm sagte schon lange aus zum zur wem wer wie warum wo niemand obwohl nachdem gab hatte".split(),
-    "fr": "le les et avec pour pas une est dans du des au aux ne qui plus mais parce avant voulait était disait déjà chez sur sous quand elle pourquoi comment où personne avait même si après aller rentré".split(),
-    "es": "el los las y con para por una del al su se más pero porque quería antes estaba ya muy cuando dijo casa volvió qué quién cómo dónde nadie aunque después había era sobre esperar".split(),
+    "en": "the and of to had it that he who with would not but his her she they at by from on under because before after still been whose which when what where why how is are was were this these there in for as be have has did does than then into no yes".split(),
+    "de": "der die das und nicht mit von dem den des ein eine einen einem einer sie er war ist zu auf im in weil dass bei nach bevor als aber für aus zum zur wem wer wie warum wo obwohl nachdem hatte hat wurde sich es ich noch schon auch nur sind an um wenn kein keine ja nein".split(),
+    "fr": "le la les et avec pour pas une un est dans du des de au aux ne qui que plus mais parce avant était avait chez sur sous quand elle il ils pourquoi comment où même si après en ce cette ces son sa ses se à par sont ont été oui non".split(),
+    "es": "el la los las y con para por una un del al de su sus se más pero porque antes estaba ya muy cuando qué quién cómo dónde aunque después había era sobre en es no lo le que está son han ha sido sí ni o sin".split(),
+    "it": "il lo la gli le e con per una un del della dei delle di da non più ma perché prima era aveva quando che chi come dove anche dopo nel nella sul sulla al alla è sono ha hanno si suo sua se questo questa già stato".split(),
+    "pt": "o os as e com para por uma um do da dos das de ao à não mais mas porque antes era tinha quando que quem como onde depois no na nos nas em seu sua se é são já foi estava também ele ela muito sem".split(),
+    "nl": "de het een en van met voor niet maar omdat was had is in op aan bij door naar om te die dat wie wat waar waarom hoe toen nog ook zijn haar hij zij ze er werd uit over onder geen ja nee als dan tot".split(),
+    "pl": "i w na z się nie jest to że do był była było o po ale jak kto co gdzie dlaczego kiedy już przed dla od przez za ich jego jej oraz który która".split(),
+    "sv": "och att det som en ett på är av för med till den inte om men han hon var från när eller vad vem där varför hur efter innan under hade har blev sig".split(),
 }
-# How one declines to answer, in the first person or about the asked task.
-REFUSALS = re.compile(
-    r"\bi(?:'m| am) (?:unable|not able|not allowed|not permitted)\b|\bi (?:cannot|can't|can not|won't|will not) (?:be able|help|comply|answer|provide|assist|discuss|respond|share|do that)\b"
-    r"|\bi (?:do not|don't) (?:feel comfortable|have access|have permission)\b|\bi (?:must|have to) (?:decline|refuse)\b|\bnot possible for me\b|\bagainst my (?:guidelines|rules|policy)\b|\bas an? (?:reading|ai|language) (?:assistant|model)\b"
-    r"|\bich (?:kann|darf|muss|möchte) (?:[\wäöüß]+ ){0,4}(?:nicht|keine|ablehnen|verweigern)\b|\b(?:kann|darf|möchte) ich (?:[\wäöüß]+ ){0,3}(?:nicht|keine)\b|\bbin ich (?:[\wäöüß]+ ){0,3}nicht in der lage\b|\bnicht in der lage,? (?:diese|ihnen|zu)\b"
-    r"|\bje ne (?:peux|puis|suis) pas\b|\bje (?:dois|préfère) (?:refuser|décliner|ne pas)\b|\bil m'est impossible\b|\bje refuse de\b"
-    r"|\bno (?:puedo|podré|me es posible|me está permitido|estoy autorizad[oa]|estoy en condiciones)\b|\b(?:debo|tengo que) (?:negarme|rechazar|declinar|rehusar)\b|\bme niego a\b"
-)
+# Who speaks, in four languages; forms of Spanish verbs that say so themselves are among them.
+SPEAKER = frozenset("i i'm i'd i've me my we our us ich mir mich mein meine meinen wir uns je j m me mon ma mes nous yo me mi mis puedo podré debo prefiero lamento siento tengo estoy quisiera niego".split())
+# That something is not, cannot or shall not be; and verbs that say so and decline at once.
+DENIAL = frozenset("not cannot can't won't don't isn't couldn't wouldn't no unable outside beyond against without nicht kein keine keinen außerhalb gegen ne pas impossible hors contre no fuera imposible contra sin".split())
+DECLINES = frozenset("decline refuse refusing declining pass ablehnen verweigern ablehne verweigere refuser décliner refuse décline negarme rechazar declinar rehusar niego rechazo abstenerme".split())
+# What an answerer is asked to do, may do, or is bound by.
+TASK = frozenset(
+    "answer answering help helping comply provide assist assisting discuss discussing respond responding reply share say saying disclose comment commenting tell allowed permitted able possible comfortable scope guidelines policy policies rules permission access information question request asking "
+    "beantworten antworten helfen auskunft anfrage frage kommentieren behilflich lage möglich erlaubt gestattet befugt richtlinien vorgaben "
+    "répondre aider fournir commenter discuter demande question mesure possible autorisé autorisée règles consignes "
+    "responder contestar ayudar ayudarle ayudarte proporcionar comentar hablar solicitud pregunta posible permitido autorizado autorizada condiciones normas directrices".split())
+#: An assistant that names itself as one.
+_ITSELF = re.compile(r"\b(?:as|als|en tant qu[e']|como) (?:an? |ein(?:e)? |un(?:e)? )?(?:\w+ ){0,2}?(?:ai|assistant|model|modell|ki|assistent|ia|assistante?|modèle|asistente|modelo)\b")
 _WORD = re.compile(r"[^\W\d_]+|\d+|[^\w\s]")
 _LETTERS = re.compile(r"[^\W_]+")
 _UNSEEN = regex.compile(r"[\p{Cf}\p{Cc}\p{Cs}\p{Co}\p{Cn}--[\t\n\r]]+", regex.V1)
@@ -49,10 +63,12 @@ _QUOTED = re.compile(r"\"[^\"]*\"|„[^“”]*[“”]|«[^»]*»|“[^”]*”
 _LEAD = re.compile(r"^[^\"„«“]{0,40}(?:\"[^\"]{15,}\"|„[^“”]{15,}[“”]|«[^»]{15,}»|“[^”]{15,}”)\s*:\s*")
 _STOPS = ".!?。！？"
 _CLOSERS = "\"'”“»’)]} \t\n\r ​"
-#: An answer's beginnings are followed over so many marks and words.
-DEPTH = 12
-#: Before a word that is counted wherever it stands.
-ANYWHERE = "\x00"
+#: Contexts are the last so many masked words and marks of an answer, its beginning counted as one.
+CONTEXT = 4
+#: A shorter context, and before all contexts the chance of one half, weighs as much as so many answers.
+WEIGHT = 5.0
+_START = "^"
+_LATIN = regex.compile(r"\p{Latin}")
 
 
 def visible(text: str) -> str:
@@ -68,16 +84,51 @@ def is_empty(text: str | None) -> bool:
     return not core or not _LETTERS.search(core) or core.lower() in STAND_INS
 
 
-def masked(text: str, skeleton: set[str], most: int | None = DEPTH + 1) -> list[str]:
-    """Frequent words and marks as they are, other words by their shape; the first ``most`` of them (null: all)."""
+def masked(text: str, skeleton: set[str]) -> list[str]:
+    """Frequent words and marks as they are, other words by their shape."""
     out = []
-    for m in islice(_WORD.finditer(text), most):
+    for m in _WORD.finditer(text):
         w = m.group()
         low = w.lower()
         out.append(low if low in skeleton or not w[0].isalnum() else "9" if w[0].isdigit() else "X" if w[0].isupper() else "w")
     return out
 
 
+@dataclass
+class Model:
+    """What the collection says: contexts with their uses and how many of these end an answer without a stop; frequent words with their uses before a stop or an end; languages of words."""
+
+    skeleton: set[str] = field(default_factory=set)
+    ends: dict[str, tuple[int, int]] = field(default_factory=dict)
+    last: dict[str, tuple[int, int]] = field(default_factory=dict)
+    vocabulary: list[str] = field(default_factory=list)
+    languages: dict[str, str] = field(default_factory=dict)
+
+    def __post_init__(self):
+        self.known = set(self.vocabulary)
+
+    def ending(self, text: str) -> float:
+        """The chance that an answer whose last words are those of ``text`` ends there, without a stop; the judged answer itself left out."""
+        m, p = [_START, *masked(text, self.skeleton)], 0.5
+        if m[-1] in self.last:
+            n, ended = self.last[m[-1]]
+            if (ended - 1 + WEIGHT * p) / (n - 1 + WEIGHT) < LEAST:
+                return 0.0
+        for k in range(1, min(CONTEXT, len(m)) + 1):
+            n, ended = self.ends.get(" ".join(m[-k:]), (0, 0))
+            if n:
+                p = (max(ended - 1, 0) + WEIGHT * p) / (n - 1 + WEIGHT)
+        return p
+
+    def cut(self, word: str, question: str) -> bool:
+        """Whether a last word is no word of the collection or the question, but the beginning of one."""
+        asked = set(_LETTERS.findall(question.lower()))
+        if word in self.known or word in asked:
+            return False
+        i = bisect_right(self.vocabulary, word)
+        return (i < len(self.vocabulary) and self.vocabulary[i].startswith(word)) or any(w.startswith(word) for w in asked)
+
+
 def own_words(text: str) -> str:
     """The text without what it quotes."""
     return _QUOTED.sub(" ", text)
@@ -93,23 +144,66 @@ def answer_part(question: str, answer: str) -> str:
     return answer[m.end() :] if sum(w in q for w in lead) >= 0.6 * len(lead) else answer
 
 
-_OF = {w: k for k, v in LANGUAGES.items() for w in v}
+_OF: dict[str, tuple[str, ...]] = {}
+for _name, _list in LANGUAGES.items():
+    for _w in _list:
+        _OF[_w] = (*_OF.get(_w, ()), _name)
 
 
 def language_scores(text: str) -> dict[str, int]:
     scores = dict.fromkeys(LANGUAGES, 0)
     for w in _LETTERS.findall(text.lower()):
-        if w in _OF:
-            scores[_OF[w]] += 1
+        for name in _OF.get(w, ()):
+            scores[name] += 1
     return scores
 
 
-def in_other_language(question: str, answer: str) -> bool:
-    q, a = language_scores(question), language_scores(own_words(answer))
-    asked, said = max(q, key=q.get), max(a, key=a.get)
-    if q[asked] < 2 or asked == said or a[said] < 1:
+def asked_in(question: str) -> str | None:
+    """The language of a question, if its function words tell it from the others."""
+    q = language_scores(question)
+    first, second = sorted(q, key=q.get, reverse=True)[:2]
+    return first if q[first] >= 2 and q[first] > q[second] else None
+
+
+def in_other_language(question: str, answer: str, learned: dict[str, str] | None = None) -> bool:
+    """Whether the answer's own words are wholly in another language, or another script, than the question."""
+    own = own_words(answer)
+    letters = [c for c in own if c.isalpha()]
+    if letters and any(c.isalpha() for c in question):
+        latin = sum(map(bool, map(_LATIN.match, letters))) / len(letters)
+        if (latin < 0.2) if _LATIN.search(question) and not regex.search(r"[\p{L}--\p{Latin}]{3}", question, regex.V1) else (latin > 0.8 and not _LATIN.search(question)):
+            return True
+    asked = asked_in(question)
+    if not asked:
         return False
-    return a[asked] * 3 <= a[said] and (a[said] >= 2 or len(_LETTERS.findall(answer)) <= 3)
+    # For each language, the words that it has and the asked one lacks against those the other way round.
+    # What the answer took from the question, such as names, tells nothing beyond the dictionaries.
+    said, told = _LETTERS.findall(own.lower()), set(_LETTERS.findall(question.lower()))
+    of = [_OF.get(w) or (learned and w not in told and w in learned and (learned[w],)) or () for w in said]
+    theirs = Counter(name for names in of if asked not in names for name in names)
+    if not theirs:
+        return False
+    other, n = theirs.most_common(1)[0]
+    ours = sum(asked in names and other not in names for names in of)
+    return ours * 3 <= n and (n >= 2 or len(said) <= 3)
+
+
+_SENTENCE = re.compile(r"(?<=[.!?…])\s+")
+_SPOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
+
+
+def refuses(answer: str) -> bool:
+    """Whether a sentence of the answer's own words says in the first person, or as an assistant, that what was asked will not be done."""
+    own = own_words(answer).lower().replace("’", "'")
+    for sentence in _SENTENCE.split(own):
+        ws = _SPOKEN.findall(re.sub(r"\b(j|m|n|l|d|qu)'", r"\1 ", sentence))
+        speaks = any(w in SPEAKER for w in ws)
+        denies = any(w in DENIAL for w in ws)
+        if _ITSELF.search(sentence) and (denies or any(w in DECLINES for w in ws)):
+            return True
+        if speaks and (any(w in DECLINES for w in ws) or denies and any(w in TASK for w in ws)):
+            return True
+    return False
 
 
 def _packed(text: bytes, given: bytes | None) -> int:
@@ -122,9 +216,8 @@ def copies(question: str, answer: str) -> bool:
     q, a = _LETTERS.findall(question.lower()), _LETTERS.findall(answer.lower())
     if len(a) < 4 or 2 * len(a) < len(q) or not q:
         return False
-    had = Counter(q)
-    known = sum(min(n, had[w]) for w, n in Counter(a).items())
-    if known < 0.85 * len(a):
+    had = set(q)
+    if sum(w in had for w in a) < 0.85 * len(a):
         return False
     qt, at = " ".join(q).encode(), " ".join(a).encode()
     if len(at) < 24:
@@ -133,12 +226,18 @@ def copies(question: str, answer: str) -> bool:
     return _packed(at, qt) <= max(0.55 * _packed(at, None), 0.05 * len(at))
 
 
-def breaks_off(answer: str, skeleton: set[str], ends: dict[str, tuple[int, int]], share: float = 0.02) -> bool:
+#: So many uses by other languages must be expected of a word before their lack makes it one of its language.
+EXPECTED = 15.0
+#: Answers end without a stop behind a context at least so often where that is usual.
+LEAST = 0.02
+
+
+def breaks_off(answer: str, question: str, model: Model) -> bool:
     """Whether the answer stops inside a word, phrase or sentence.
 
-    Without a full stop an answer is complete if enough answers that begin like it (two at least, itself
-    among them) end right there, without one.  A single word, such as a name, begins too many to say.  Beginnings too rare to be counted are complete if they are a few words long
-    and don't end on a frequent word that hardly ever ends an answer or sentence, such as an article.
+    An answer with a full stop is complete, one that ends on another mark is not.  Without a mark it
+    breaks off if its last word is only the beginning of a known one, or if answers hardly ever end
+    like it.  Where the collection says nothing, it is complete.
     """
     t = answer.rstrip(_CLOSERS)
     if not t:
@@ -149,87 +248,97 @@ def breaks_off(answer: str, skeleton: set[str], ends: dict[str, tuple[int, int]]
         return False
     if not t[-1].isalnum():
         return True
-    m = masked(t, skeleton)
-    if 1 < len(m) <= DEPTH:
-        counted = ends.get(" ".join(m))
-        if counted:
-            return counted[1] < max(2, share * counted[0])
-    ws = _LETTERS.findall(t)
-    last = ends.get(ANYWHERE + ws[-1].lower())
-    return len(ws) > 4 or (last is not None and last[1] < share * last[0])
+    ws = _LETTERS.findall(t.lower())
+    return model.cut(ws[-1], question) or model.ending(t) < LEAST
 
 
-def defect(question: str | None, answer: str | None, skeleton: set[str], ends: dict[str, tuple[int, int]]) -> str | None:
+def defect(question: str | None, answer: str | None, model: Model) -> str | None:
     if is_empty(answer):
         return "empty"
     q, a = visible(question or ""), visible(answer)
     part = answer_part(q, a)
-    if REFUSALS.search(own_words(part).lower().replace("’", "'")):
+    if refuses(part):
         return "refusal"
     if copies(q, a):
         return "copies_question"
-    if in_other_language(q, part):
+    if in_other_language(q, part, model.languages):
         return "other_language"
-    return "truncated" if breaks_off(part, skeleton, ends) else None
+    return "truncated" if breaks_off(part, q, model) else None
 
 
-def defects(pairs: DataFrame, id: str = "id", question: str = "question", answer: str = "answer", frequent: float = 0.02, counted: float = 0.0003, at_least: int = 15) -> DataFrame:
+def defects(pairs: DataFrame, id: str = "id", question: str = "question", answer: str = "answer", frequent: float = 0.02, counted: float = 0.0003, at_least: int = 3) -> DataFrame:
     """(pair_id, defect), one row per pair with an unusable answer.
 
     The first of these that holds: ``empty``, ``refusal``, ``copies_question``, ``other_language``,
     ``truncated``.  A pair with a null or blank question can be empty, a refusal or truncated.  The
-    model counts words and beginnings over all distinct pairs (case and closing marks aside), so that
-    copies of a pair don't make its ending look usual; the same short answer to different questions
-    counts each time, as that tells "Three times" from a broken answer.  Only words in at least ``frequent`` of the answers,
-    and beginnings that at least ``counted`` of them have, reach the driver, which bounds both tables by
-    the mean length of an answer.  Repeated pairs are judged each; texts are taken whole.
+    model counts over all distinct pairs (case and closing marks aside), so that copies of a pair don't
+    make its ending look usual, and leaves the judged pair out; the same short answer to different
+    questions counts each time, as that tells "Three times" from a broken answer.  Words in at least
+    ``frequent`` of the answers stand for themselves in contexts.  Contexts and words that at least
+    ``counted`` of the answers have, and ``at_least`` so many, reach the driver, which bounds all tables
+    by the mean length of an answer.  Repeated pairs are judged each; texts are taken whole.
     """
     spark, scratch = pairs.sparkSession, Scratch(pairs.sparkSession, "pairs")
     held = scratch.write(pairs.select(F.col(id).alias("pair_id"), F.col(question).alias("q"), F.col(answer).alias("a")), "pairs")
 
     def parts(batches):
         for b in batches:
-            seen: dict[bytes, str] = {}
+            seen: dict[bytes, tuple[str, str | None]] = {}
             for q, a in zip(b["q"].to_pylist(), b["a"].to_pylist()):
                 if is_empty(a):
                     continue
                 asked = visible(q or "")
                 part = answer_part(asked, visible(a))
                 key = blake2b(f"{asked.lower()}\0{part.rstrip(_CLOSERS).lower()}".encode(), digest_size=16).digest()
-                seen[key] = min(part, seen.get(key, part))
+                if key not in seen or part < seen[key][0]:
+                    seen[key] = part, asked_in(asked)
             if seen:
-                yield pa.RecordBatch.from_pydict({"key": list(seen), "part": list(seen.values())})
+                yield pa.RecordBatch.from_pydict({"key": list(seen), "part": [p for p, _ in seen.values()], "lang": pa.array([x for _, x in seen.values()], pa.string())})
 
-    answers = held.select("q", "a").mapInArrow(parts, "key binary, part string").groupBy("key").agg(F.min("part").alias("part"))
-    answers = scratch.write(answers.select("part"), "answers")
+    answers = held.select("q", "a").mapInArrow(parts, "key binary, part string, lang string").groupBy("key").agg(F.min("part").alias("part"), F.min("lang").alias("lang"))
+    answers = scratch.write(answers.select("part", "lang"), "answers")
     total = answers.count()
-    df = answers.select(F.explode(F.array_distinct(words("part"))).alias("w")).groupBy("w").count()
-    skeleton = {w for w, _ in df.where(F.col("count") >= max(3.0, frequent * total)).collect()} if total else set()
-
-    def beginnings(batches):
-        for b in batches:
-            seen: dict[str, list[int]] = {}
-            for part in b["part"].to_pylist():
-                m = masked(part, skeleton, None)
-                for k in range(1, min(len(m), DEPTH) + 1):
-                    c = seen.setdefault(" ".join(m[:k]), [0, 0])
-                    c[0] += 1
-                    c[1] += k == len(m)
-                for k in range(1, len(m) + 1):
-                    if m[k - 1] in skeleton:
-                        c = seen.setdefault(ANYWHERE + m[k - 1], [0, 0])
-                        c[0] += 1
-                        c[1] += k == len(m) or m[k] in _STOPS
-            if seen:
-                yield pa.RecordBatch.from_pydict({"begins": list(seen), "n": [c[0] for c in seen.values()], "ended": [c[1] for c in seen.values()]})
-
-    sums = answers.mapInArrow(beginnings, "begins string, n long, ended long").groupBy("begins").agg(F.sum("n").alias("n"), F.sum("ended").alias("ended"))
-    ends = {r.begins: (r.n, r.ended) for r in sums.where(F.col("n") >= max(float(at_least), counted * total)).collect()} if total else {}
+    model = _fitted(answers, total, frequent * total, max(float(at_least), counted * total)) if total else Model()
 
     def judge(batches):
         for b in batches:
-            kinds = [defect(q, a, skeleton, ends) for q, a in zip(b["q"].to_pylist(), b["a"].to_pylist())]
+            kinds = [defect(q, a, model) for q, a in zip(b["q"].to_pylist(), b["a"].to_pylist())]
             hit = [i for i, k in enumerate(kinds) if k]
             yield pa.RecordBatch.from_arrays([b["pair_id"].take(pa.array(hit, pa.int64())), pa.array([kinds[i] for i in hit], pa.string())], ["pair_id", "defect"])
 
     return held.mapInArrow(judge, held.select("pair_id").schema.add("defect", "string"))
+
+
+def _fitted(answers: DataFrame, total: int, frequent: float, counted: float) -> Model:
+    """The model of ``answers`` (part, lang); what fewer than ``counted`` of them have stays out."""
+    each = answers.select("lang", F.explode(F.array_distinct(words("part"))).alias("w")).groupBy("w", "lang").count()
+    per = each.groupBy("w").agg(F.sum("count").alias("n"), F.max_by("lang", F.when(F.col("lang").isNotNull(), F.col("count"))).alias("lang"), F.max(F.when(F.col("lang").isNotNull(), F.col("count"))).alias("most"))
+    rows = per.where(F.col("n") >= counted).collect()
+    skeleton = {r.w for r in rows if r.n >= max(3.0, frequent)}
+    # A word is one of a language if hardly any other has it though at least EXPECTED uses there were to be expected.
+    share = {r.lang: r.n / total for r in answers.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    learned = {r.w: r.lang for r in rows if r.lang and r.w not in _OF and r.most >= 0.95 * r.n and r.n * (1 - share[r.lang]) >= EXPECTED}
+
+    def contexts(batches):
+        for b in batches:
+            seen: dict[str, list[int]] = {}
+            for part in b["part"].to_pylist():
+                m = [_START, *masked(part, skeleton)]
+                stop = len(m) - 1
+                for i in range(1, stop + 1):
+                    ctx = m[i]
+                    for k in range(1, min(CONTEXT, i + 1) + 1):
+                        if k > 1:
+                            ctx = f"{m[i - k + 1]} {ctx}"
+                        c = seen.setdefault(ctx, [0, 0, 0])
+                        c[0] += 1
+                        if i == stop:
+                            c[1] += 1
+                        if k == 1 and (i == stop or m[i + 1] in _STOPS):
+                            c[2] += 1
+            if seen:
+                yield pa.RecordBatch.from_pydict({"ctx": list(seen), "n": [c[0] for c in seen.values()], "ended": [c[1] for c in seen.values()], "stopped": [c[2] for c in seen.values()]})
+
+    sums = answers.select("part").mapInArrow(contexts, "ctx string, n long, ended long, stopped long").groupBy("ctx").agg(*[F.sum(c).alias(c) for c in ("n", "ended", "stopped")])
+    found = sums.where(F.col("n") >= counted).collect()
+    return Model(skeleton, {r.ctx: (r.n, r.ended) for r in found}, {r.ctx: (r.n, r.stopped) for r in found if r.ctx in skeleton}, sorted(r.w for r in rows), learned)
