@@ -56,6 +56,8 @@ TASK = frozenset(
     "responder contestar ayudar ayudarle ayudarte proporcionar comentar hablar solicitud pregunta posible permitido autorizado autorizada condiciones normas directrices".split())
 #: An assistant that names itself as one.
 _ITSELF = re.compile(r"\b(?:as|als|en tant qu[e']|como) (?:an? |ein(?:e)? |un(?:e)? )?(?:\w+ ){0,2}?(?:ai|assistant|model|modell|ki|assistent|ia|assistante?|modèle|asistente|modelo)\b")
+_LONGEST = max(map(len, STAND_INS))
+_EDGE = re.compile(r"[\W_]+$")
 _WORD = re.compile(r"[^\W\d_]+|\d+|[^\w\s]")
 _LETTERS = re.compile(r"[^\W_]+")
 _UNSEEN = regex.compile(r"[\p{Cf}\p{Cc}\p{Cs}\p{Co}\p{Cn}--[\t\n\r]]+", regex.V1)
@@ -68,20 +70,26 @@ CONTEXT = 4
 #: A shorter context, and before all contexts the chance of one half, weighs as much as so many answers.
 WEIGHT = 5.0
 _START = "^"
-_LATIN = regex.compile(r"\p{Latin}")
+#: Letters beyond the Latin, IPA and combining blocks.
+_OTHER_SCRIPT = re.compile("[\u0370-\u1dbf\u1f00-\u1fff\u2c80-\ua71f\ua800-\ufaff\U00010000-\U0003ffff]")
 
 
 def visible(text: str) -> str:
     """Without invisible and control characters, white space evened."""
-    return " ".join(_UNSEEN.sub("", text).split())
+    return " ".join((text if text.isprintable() else _UNSEEN.sub("", text)).split())
 
 
 def is_empty(text: str | None) -> bool:
-    if not text:
+    return not text or says_nothing(visible(text))
+
+
+def says_nothing(seen: str) -> bool:
+    """Whether a visible text has no letters or digits, or is a stand-in for no answer."""
+    first = _LETTERS.search(seen)
+    if not first:
         return True
-    t = visible(text)
-    core = t.strip("".join({c for c in t if not c.isalnum()})) if t else ""
-    return not core or not _LETTERS.search(core) or core.lower() in STAND_INS
+    core = _EDGE.sub("", seen[first.start() :])
+    return len(core) <= _LONGEST and core.lower() in STAND_INS
 
 
 def masked(text: str, skeleton: set[str]) -> list[str]:
@@ -168,11 +176,9 @@ def asked_in(question: str) -> str | None:
 def in_other_language(question: str, answer: str, learned: dict[str, str] | None = None) -> bool:
     """Whether the answer's own words are wholly in another language, or another script, than the question."""
     own = own_words(answer)
-    letters = [c for c in own if c.isalpha()]
-    if letters and any(c.isalpha() for c in question):
-        latin = sum(map(bool, map(_LATIN.match, letters))) / len(letters)
-        if (latin < 0.2) if _LATIN.search(question) and not regex.search(r"[\p{L}--\p{Latin}]{3}", question, regex.V1) else (latin > 0.8 and not _LATIN.search(question)):
-            return True
+    foreign = [len(_OTHER_SCRIPT.findall(t)) / max(1, sum(map(str.isalpha, t))) if _OTHER_SCRIPT.search(t) else 0.0 for t in (question, own)]
+    if (foreign[0] > 0.8 and foreign[1] < 0.2 or foreign[0] < 0.2 and foreign[1] > 0.8) and _LETTERS.search(question) and _LETTERS.search(own):
+        return True
     asked = asked_in(question)
     if not asked:
         return False
@@ -180,9 +186,10 @@ def in_other_language(question: str, answer: str, learned: dict[str, str] | None
     # What the answer took from the question, such as names, tells nothing beyond the dictionaries.
     said, told = _LETTERS.findall(own.lower()), set(_LETTERS.findall(question.lower()))
     of = [_OF.get(w) or (learned and w not in told and w in learned and (learned[w],)) or () for w in said]
-    theirs = Counter(name for names in of if asked not in names for name in names)
-    if not theirs:
+    rest = [names for names in of if names and asked not in names]
+    if not rest:
         return False
+    theirs = Counter(name for names in rest for name in names)
     other, n = theirs.most_common(1)[0]
     ours = sum(asked in names and other not in names for names in of)
     return ours * 3 <= n and (n >= 2 or len(said) <= 3)
@@ -195,6 +202,8 @@ _SPOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 def refuses(answer: str) -> bool:
     """Whether a sentence of the answer's own words says in the first person, or as an assistant, that what was asked will not be done."""
     own = own_words(answer).lower().replace("’", "'")
+    if SPEAKER.isdisjoint(_LETTERS.findall(own)) and not _ITSELF.search(own):
+        return False
     for sentence in _SENTENCE.split(own):
         ws = _SPOKEN.findall(re.sub(r"\b(j|m|n|l|d|qu)'", r"\1 ", sentence))
         speaks = any(w in SPEAKER for w in ws)
@@ -253,9 +262,10 @@ def breaks_off(answer: str, question: str, model: Model) -> bool:
 
 
 def defect(question: str | None, answer: str | None, model: Model) -> str | None:
-    if is_empty(answer):
+    a = visible(answer or "")
+    if says_nothing(a):
         return "empty"
-    q, a = visible(question or ""), visible(answer)
+    q = visible(question or "")
     part = answer_part(q, a)
     if refuses(part):
         return "refusal"
@@ -285,10 +295,11 @@ def defects(pairs: DataFrame, id: str = "id", question: str = "question", answer
         for b in batches:
             seen: dict[bytes, tuple[str, str | None]] = {}
             for q, a in zip(b["q"].to_pylist(), b["a"].to_pylist()):
-                if is_empty(a):
+                said = visible(a or "")
+                if says_nothing(said):
                     continue
                 asked = visible(q or "")
-                part = answer_part(asked, visible(a))
+                part = answer_part(asked, said)
                 key = blake2b(f"{asked.lower()}\0{part.rstrip(_CLOSERS).lower()}".encode(), digest_size=16).digest()
                 if key not in seen or part < seen[key][0]:
                     seen[key] = part, asked_in(asked)
