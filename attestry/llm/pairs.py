@@ -225,8 +225,8 @@ def copies(question: str, answer: str) -> bool:
     q, a = _LETTERS.findall(question.lower()), _LETTERS.findall(answer.lower())
     if len(a) < 4 or 2 * len(a) < len(q) or not q:
         return False
-    had = set(q)
-    if sum(w in had for w in a) < 0.85 * len(a):
+    had, times = Counter(q), max(1, int(len(a) / len(q) + 0.15))  # the question may be repeated
+    if sum(min(n, times * had[w]) for w, n in Counter(a).items()) < 0.85 * len(a):
         return False
     qt, at = " ".join(q).encode(), " ".join(a).encode()
     if len(at) < 24:
