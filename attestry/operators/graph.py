@@ -35,39 +35,6 @@ def cooccurrence(ents: DataFrame, relations: DataFrame | None = None) -> DataFra
     return e
 
 
-def louvain(nodes: list[str], edges: list[tuple[str, str, float]], passes: int = 20) -> dict[str, str]:
-    """One level of modularity moves over a small graph, nodes and ties in order; node -> community.
-
-    Communities' total degrees are kept as they change, so a pass costs the number of edges.
-    """
-    near: dict[str, dict[str, float]] = {n: {} for n in sorted(set(nodes))}
-    for a, b, w in edges:
-        if a != b and a in near and b in near:
-            near[a][b] = near[b][a] = float(w)
-    degree = {n: sum(x.values()) for n, x in near.items()}
-    twice = sum(degree.values())
-    home = {n: n for n in near}
-    total = dict(degree)
-    for _ in range(passes if twice else 0):
-        moved = False
-        for n, links in near.items():
-            toward: dict[str, float] = {}
-            for m, w in links.items():
-                toward[home[m]] = toward.get(home[m], 0.0) + w
-            best, gain = home[n], 0.0
-            for c, w in toward.items():
-                g = w - degree[n] * total[c] / twice
-                if g > gain + 1e-9 or (abs(g - gain) <= 1e-9 and c < best):
-                    best, gain = c, g
-            if best != home[n]:
-                total[home[n]] -= degree[n]
-                total[best] += degree[n]
-                home[n], moved = best, True
-        if not moved:
-            break
-    return home
-
-
 def modularity(edges: DataFrame, homes: DataFrame) -> float:
     """Modularity of the communities ``homes`` (entity, community) over ``edges`` (a, b, weight); 0 without edges."""
     e = edges.where("a != b").select("a", "b", F.col("weight").cast("double").alias("weight"))
@@ -79,15 +46,14 @@ def modularity(edges: DataFrame, homes: DataFrame) -> float:
     return (r.w or 0.0) / r.m2 - r.tt / r.m2**2 if r.m2 else 0.0
 
 
-def communities(edges: DataFrame, nodes: DataFrame | None = None, small: int = 50_000) -> DataFrame:
-    """(entity, community): modularity moves at every size, until no move of one name to a neighbour's community raises modularity.
+def communities(edges: DataFrame, nodes: DataFrame | None = None, least: float = 1e-4) -> DataFrame:
+    """(entity, community): modularity moves until a round of them raises modularity by less than ``least``; with 0, until no move of one name to a neighbour's community raises it at all.
 
     A community is named by its first name.  Names of ``nodes`` (entity) without an edge are communities
     of their own.  In a round each name finds its best community and some of those that gain move at
     once: a half of them, chosen by a hash.  A round counts only if modularity rose; after one that did
     not a smaller part moves, at last only best moves that share no community, whose gains add up
     exactly.  So modularity rises with each round, and the rounds end without a limit on their number.
-    Graphs of at most ``small`` edges are handled in one task, with the same result.
     """
     spark = edges.sparkSession
     scratch = Scratch(spark, "communities")
@@ -98,7 +64,6 @@ def communities(edges: DataFrame, nodes: DataFrame | None = None, small: int = 5
     e = edges.where("a != b").select("a", "b", F.col("weight").cast("double").alias("weight"))
     e = e.join(names.toDF("a", "x"), "a").join(names.toDF("b", "y"), "b").select("x", "y", "weight")
     e = scratch.write(e, "edges")
-    one = e.limit(small + 1).count() <= small
     both = e.unionByName(e.select(F.col("y").alias("x"), F.col("x").alias("y"), "weight"))
     degree = both.groupBy("x").agg(F.sum("weight").alias("d"))
     start = names.join(degree, F.col("k") == F.col("x")).select("k", F.col("k").alias("c"), "d", F.xxhash64("entity").alias("h"))
@@ -108,10 +73,9 @@ def communities(edges: DataFrame, nodes: DataFrame | None = None, small: int = 5
 
     def judged(state: DataFrame, name: str) -> tuple[DataFrame, float, int]:
         """The state with each name's best other community and gain, its modularity, and how many names want to move."""
-        tie = both.coalesce(1) if one else both
-        at = state.coalesce(1) if one else state
+        at = state
         total = at.groupBy("c").agg(F.sum("d").alias("t"))
-        pull = tie.join(at.select(F.col("k").alias("y"), "c"), "y").groupBy("x", "c").agg(F.sum("weight").alias("w")).join(total, "c")
+        pull = both.join(at.select(F.col("k").alias("y"), "c"), "y").groupBy("x", "c").agg(F.sum("weight").alias("w")).join(total, "c")
         own = at.join(total, "c").select("k", F.col("c").alias("c0"), "d", "h", F.col("t").alias("t0"))
         j = pull.join(own, F.col("x") == F.col("k"))
         other = F.col("c") != F.col("c0")
@@ -144,7 +108,10 @@ def communities(edges: DataFrame, nodes: DataFrame | None = None, small: int = 5
         new, q_new, n = judged(step, f"state_{i}")
         if alone or q_new > q + 1e-12:
             scratch.drop(f"state_{kept}")
+            slow = q_new - q < least
             now, q, wanting, kept, halvings = new, q_new, n, i, max(1, halvings - 1)
+            if slow:
+                break
         else:
             scratch.drop(f"state_{i}")
             halvings += 1

@@ -244,15 +244,27 @@ def lines_offsets(s, d):
     return rows.select(F.col("source_version_id").alias("doc_id"), "ord", "start", "end")
 
 
-@query(None)
+_EDGE = r"regexp_replace({}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
+_CUT = f"""RECURSIVE p AS (SELECT doc_id, unnest(l) v, unnest(generate_series(1, len(l))) i FROM (SELECT doc_id, list_transform(string_split_regex(text, '\\n\\s*\\n'), lambda x: {_EDGE.format('x')}) l FROM documents WHERE text IS NOT NULL)),
+e AS (SELECT doc_id, i, v, 0::BIGINT a, NULL::VARCHAR piece FROM p UNION ALL
+  SELECT doc_id, i, v, a + n, substr(v, a + 1, n) FROM (SELECT *, CASE WHEN rest <= 1400 THEN rest WHEN space > 770 THEN space ELSE 1400 END n FROM (
+    SELECT *, length(v) - a rest, 1401 - instr(reverse(substr(v, a + 1, 1401)), ' ') space FROM e)) WHERE rest > 0)"""
+
+
+@query(f"""WITH {_CUT} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, a) - 1 part, {_EDGE.format('piece')} AS text, true AS placed FROM e WHERE piece IS NOT NULL AND {_EDGE.format('piece')} <> ''""")
 def cut_chunks(s, d):
-    return chunks.cut_rows(table(s, d, "documents"), "doc_id")
+    docs = table(s, d, "documents").select("doc_id", "text")
+    c = chunks.cut_rows(docs, "doc_id").join(docs.select(F.col("doc_id").alias("id"), F.col("text").alias("whole")), "id")
+    return c.select(F.col("id").alias("doc_id"), "part", "text", (F.expr("substring(whole, cast(start + 1 as int), cast(end - start as int))") == F.col("text")).alias("placed"))
 
 
-@query(None)
+@query("""WITH RECURSIVE o AS (SELECT sourceVersionId v, coalesce(length(text), 0) n, row_number() OVER (PARTITION BY sourceVersionId ORDER BY doc_id) i FROM documents),
+f AS (SELECT v, i, n, 0::BIGINT chunk, n chars FROM o WHERE i = 1 UNION ALL
+  SELECT o.v, o.i, o.n, f.chunk + (f.chars + o.n > 18000)::BIGINT, CASE WHEN f.chars + o.n > 18000 THEN o.n ELSE f.chars + o.n END FROM f JOIN o ON o.v IS NOT DISTINCT FROM f.v AND o.i = f.i + 1)
+SELECT v source_version_id, chunk, count(*) regions, sum(n)::BIGINT chars FROM f GROUP BY 1, 2""")
 def packed_chunks(s, d):
     r = table(s, d, "documents").select(F.col("sourceVersionId").alias("source_version_id"), F.col("doc_id").alias("ord"), "text")
-    return chunks.grouped(r).groupBy("source_version_id", "chunk").agg(F.count(F.lit(1)).alias("regions"), F.sum(F.length("text")).alias("chars"))
+    return chunks.grouped(r).groupBy("source_version_id", "chunk").agg(F.count(F.lit(1)).alias("regions"), F.sum(F.coalesce(F.length("text"), F.lit(0))).alias("chars"))
 
 
 @query(None)

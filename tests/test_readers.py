@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import zipfile
 
+import numpy as np
+
 from attestry.sources import chunks, readers
 from tests.conftest import rows
 
@@ -65,8 +67,25 @@ def test_chunks(spark):
     got = chunks.grouped(r, most_chars=10)
     assert [x.chunk for x in got.where("source_version_id = 's'").orderBy("ord").collect()] == [0, 0, 1, 2, 3, 3]
     assert {x.chunk for x in chunks.grouped(r, 10, most_rows=1).where("source_version_id = 't'").collect()} == {0, 1}
-    text = "  para one word\n\n" + "lorem " * 700 + "\n\nend"
-    spans = chunks.cut(text)
-    assert all(0 < e - s <= 1400 and text[s:e] == text[s:e].strip() for s, e in spans)
-    assert "".join("".join(text[s:e].split()) for s, e in spans) == "".join(text.split())
-    assert chunks.cut_rows(spark.createDataFrame([(1, text), (2, None), (3, "")], "id long, text string"), "id").count() == len(spans)
+    many = spark.createDataFrame([("s", i, "x" * (i % 7)) for i in range(500)] + [(None, 1, "a"), (None, 2, "bc")], "source_version_id string, ord int, text string").selectExpr("*", "'z' as chunk_", "1 as n")
+    want, chunk, chars = {}, 0, 0
+    for i in range(500):
+        if i and chars + i % 7 > 20:
+            chunk, chars = chunk + 1, 0
+        chars += i % 7
+        want[i] = chunk
+    got = chunks.grouped(many, most_chars=20)
+    assert {x.ord: x.chunk for x in got.where("source_version_id = 's'").collect()} == want and got.where("source_version_id is null").count() == 2
+    a, state = chunks.numbers(np.array([4, 4, 4]), 10, None, (0, 0, 0))
+    b, _ = chunks.numbers(np.array([20, 1, 9]), 10, None, state)
+    assert [*a, *b] == [0, 0, 1, 2, 3, 3]
+
+
+def test_cutting_long_texts(spark):
+    text = "  para one word\n\n" + "lorem " * 700 + "\n \n\nend\n\n" + "y" * 3000 + "\n"
+    d = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, " \n\n "), (5, "é one")], "id long, text string").selectExpr("*", "0 as part", "1 as start")
+    got = chunks.cut_rows(d, "id").orderBy("id", "part").collect()
+    mine = [r for r in got if r.id == 1]
+    assert all(0 < r.end - r.start <= 1400 and text[r.start : r.end] == r.text == r.text.strip() for r in mine) and [r.part for r in mine] == list(range(len(mine)))
+    assert "".join("".join(r.text.split()) for r in mine) == "".join(text.split())
+    assert [len(r.text) for r in mine] == [13, 1397, 1397, 1397, 5, 3, 1400, 1400, 200] and {r.id for r in got} == {1, 5}
