@@ -53,3 +53,12 @@ def orphan_references(spark: SparkSession, sf_dir: str) -> DataFrame:
                  F.least(F.when(removal, F.col("recordedAt")), F.col("deletedAt")).alias("gone")), ["case_key", "id"], "born", "gone")
     b = references.orphans(of_cases, records, [("case_key", "case_key"), ("ref_id", "id")], "at").drop("case_key")
     return a.unionByName(b)
+
+
+def source_references(spark: SparkSession, sf_dir: str, match: str) -> DataFrame:
+    """(question_id, source_id, source_version_id, at): deliveries of questions that name a version of a source,
+    the one or the other of which may be null, where no such version was there when the question was made.
+    """
+    v = table(spark, sf_dir, "source_versions").select(label("sourceId").alias("s"), label("id").alias("v"), F.col("recordedAt").alias("born"), F.col("deletedAt").alias("gone"))
+    refs = table(spark, sf_dir, "questions").select(F.col("id").alias("question_id"), label("sourceId").alias("source_id"), label("sourceVersionId").alias("source_version_id"), F.col("createdAt").alias("at"))
+    return references.orphans(refs, references.lifetimes(v, ["s", "v"], "born", "gone"), [("source_id", "s"), ("source_version_id", "v")], "at", match)

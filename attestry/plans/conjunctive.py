@@ -88,17 +88,50 @@ def matched(df: DataFrame, goal: Term | str, sources=None, want: dict | None = N
     return atom(prepared(base, sources, want), goal, keep)
 
 
+def linked(body: tuple[Term, ...]) -> list[int]:
+    """The order in which goals are joined: always one that shares most variables with those before it, constants breaking ties.
+
+    A conjunction has the same rows in any order; this one puts off products until nothing else is left.
+    """
+    names = [g.variables() if g.kind == "call" else set() for g in body]
+    fixed = [sum(a.ground for a in g.args) if g.kind == "call" else 0 for g in body]
+    left, out, met = list(range(len(body))), [], set()
+    while left:
+        i = max(left, key=lambda j: (len(names[j] & met), fixed[j], -j))
+        out.append(i)
+        left.remove(i)
+        met |= names[i]
+    return out
+
+
+#: Cells a side of a join without shared variables.
+CELLS = 8
+
+
 def joined(df: DataFrame, body: tuple[Term, ...]) -> DataFrame:
     """The conjunction of ``body`` over prepared facts: variables and, per goal i, id_i, opp_i, qual_i, al_i, ord_i; scope_key of all.
 
-    Goals join on the variables they share and on the scope; goals that share none still join on the
-    scope, never as a bare cross join.
+    Goals join on the variables they share and on the scope.  Goals that share none still join on the
+    scope, never as a bare cross join, and as nearly all facts may stand in one scope, both sides are
+    spread over the cells of a grid: each pair of facts meets in one of them.
     """
-    parts = []
+    parts = {}
     for i, g in enumerate(body):
         keep = [F.col("scope_key"), F.col("id").alias(f"id_{i}"), F.col("ord").alias(f"ord_{i}"), F.col("opponent_id").alias(f"opp_{i}"), F.col("qualified").alias(f"qual_{i}"), F.col("aligned").alias(f"al_{i}")]
-        parts.append(atom(df, g, keep))
-    return reduce(lambda a, b: a.join(b, ["scope_key", *sorted(set(a.columns) & set(b.columns) - {"scope_key"})]), parts)
+        parts[i] = atom(df, g, keep)
+    order = linked(body)
+    rows, met = parts[order[0]], [order[0]]
+    for i in order[1:]:
+        shared = sorted(set(rows.columns) & set(parts[i].columns) - {"scope_key"})
+        if shared:
+            rows = rows.join(parts[i], ["scope_key", *shared])
+        else:
+            every = F.explode(F.sequence(F.lit(0), F.lit(CELLS - 1)))
+            left = rows.withColumn("_x", F.pmod(F.xxhash64(*[f"id_{j}" for j in met]), F.lit(CELLS)).cast("int")).withColumn("_y", every)
+            right = parts[i].withColumn("_y", F.pmod(F.xxhash64(f"id_{i}"), F.lit(CELLS)).cast("int")).withColumn("_x", every)
+            rows = left.join(right, ["scope_key", "_x", "_y"]).drop("_x", "_y")
+        met.append(i)
+    return rows
 
 
 def found(df: DataFrame, query: Term | str, sources=None, want: dict | None = None) -> DataFrame:

@@ -41,6 +41,16 @@ def p4_by_month(spark, sf_dir):
     return references.by_period(evidence.orphan_references(spark, sf_dir), "holder", "field", "at")
 
 
+def p4_partial(spark, sf_dir):
+    """Composite references, null columns left open."""
+    return evidence.source_references(spark, sf_dir, "partial").select("question_id", "source_id", "source_version_id", "at")
+
+
+def p4_full(spark, sf_dir):
+    """Composite references, partly null ones never holding."""
+    return evidence.source_references(spark, sf_dir, "full").select("question_id", "source_id", "source_version_id", "at")
+
+
 _HELD = f"""held AS (SELECT k, id, pk FROM (SELECT {norm('id')} k, id, {norm('parentProjectId')} pk,
   row_number() OVER (PARTITION BY {norm('id')} ORDER BY recordedAt DESC) rn FROM projects) WHERE rn = 1 AND k IS NOT NULL),
 e AS (SELECT a.k, a.id, b.k pk FROM held a LEFT JOIN held b ON a.pk = b.k)"""
@@ -92,11 +102,20 @@ P4_FOUND = f"WITH {_P4} SELECT holder, field, holder_id, ref_id FROM found"
 P4_BY_MONTH = f"""WITH {_P4} SELECT holder, field, strftime(at_, '%Y-%m') "month", count(*) n_refs, count(DISTINCT holder_id) n_holders
 FROM found GROUP BY 1, 2, 3"""
 
+_P4_SOURCES = f"""refs AS (SELECT id question_id, {norm('sourceId')} source_id, {norm('sourceVersionId')} source_version_id, createdAt AS "at" FROM questions),
+life AS (SELECT {norm('sourceId')} s, {norm('id')} v, min(recordedAt) born, min(deletedAt) gone FROM source_versions GROUP BY 1, 2),
+lost AS (SELECT * FROM refs WHERE NOT EXISTS (SELECT 1 FROM life WHERE (source_id IS NULL OR source_id = s) AND (source_version_id IS NULL OR source_version_id = v) AND born <= "at" AND (gone IS NULL OR gone > "at")))"""
+P4_PARTIAL = f"WITH {_P4_SOURCES} SELECT * FROM lost WHERE source_id IS NOT NULL OR source_version_id IS NOT NULL"
+P4_FULL = f"""WITH {_P4_SOURCES} SELECT * FROM lost WHERE source_id IS NOT NULL AND source_version_id IS NOT NULL
+UNION ALL SELECT * FROM refs WHERE (source_id IS NULL) <> (source_version_id IS NULL)"""
+
 QUERIES = {
     "p2_found": (p2_found, P2_FOUND),
     "p2_hierarchy": (p2_hierarchy, P2_HIERARCHY),
     "p2_descendants": (p2_descendants, P2_DESCENDANTS),
     "p2_all_descendants": (p2_all_descendants, P2_ALL_DESCENDANTS),
     "p4_found": (p4_found, P4_FOUND),
+    "p4_partial": (p4_partial, P4_PARTIAL),
+    "p4_full": (p4_full, P4_FULL),
     "p4_by_month": (p4_by_month, P4_BY_MONTH),
 }

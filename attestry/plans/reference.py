@@ -244,6 +244,51 @@ def lines_offsets(s, d):
     return rows.select(F.col("source_version_id").alias("doc_id"), "ord", "start", "end")
 
 
+def _as_files(s, d):
+    """The documents as files of nine kinds, chosen by their number."""
+    t, i = F.coalesce("text", F.lit("")), F.col("doc_id").cast("string")
+    body = {"txt": t, "markdown": t, "log": t, "jsonl": t, "bin": t, "json": F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit('{"id": '), i, F.lit("}"))).otherwise(t),
+            "csv": F.concat(F.lit("id,note\n"), i, F.lit(',"'), F.replace(t, F.lit('"'), F.lit('""')), F.lit('"\n')), "tsv": F.concat(F.lit("id\tsize\n"), i, F.lit("\t"), F.length(t).cast("string"), F.lit("\n\n")),
+            "html": F.concat(F.lit("<html><head><title>x</title></head><body><p>No. "), i, F.lit("</p><script>var a;</script><p>a &amp; b</p></body></html>"))}
+    kind = F.element_at(F.array(*[F.lit(k) for k in body]), (F.col("doc_id") % len(body) + 1).cast("int"))
+    content = F.coalesce(*[F.when(kind == k, c) for k, c in body.items()])
+    return table(s, d, "documents").select("doc_id", F.concat(i, F.lit("."), kind).alias("path"), content.cast("binary").alias("content"))
+
+
+_FILES = r"""f AS (SELECT doc_id, coalesce(text, '') t, list_extract(['txt', 'markdown', 'log', 'jsonl', 'bin', 'json', 'csv', 'tsv', 'html'], (doc_id % 9 + 1)::INT) ext FROM documents),
+ln AS (SELECT doc_id, CASE ext WHEN 'jsonl' THEN 'json-line' ELSE 'text-line' END kind, unnest(regexp_split_to_array(t, '\r\n|\r|\n')) AS text, unnest(generate_series(1, len(regexp_split_to_array(t, '\r\n|\r|\n')))) ord FROM f WHERE ext IN ('txt', 'markdown', 'log', 'jsonl')),
+r AS (SELECT * FROM ln WHERE regexp_replace(text, '[\s\p{Z}\x85]+', '', 'g') <> '' UNION ALL SELECT doc_id, 'text-line', '{"id": ' || doc_id || '}', 1 FROM f WHERE ext = 'json' AND doc_id % 2 = 0
+  UNION ALL SELECT doc_id, 'csv-row', 'id: ' || doc_id || '; note: ' || t, 1 FROM f WHERE ext = 'csv' UNION ALL SELECT doc_id, 'csv-row', 'id: ' || doc_id || '; size: ' || length(t), 1 FROM f WHERE ext = 'tsv'
+  UNION ALL SELECT doc_id, 'html-paragraph', unnest(['No. ' || doc_id, 'a & b']), unnest([1, 2]) FROM f WHERE ext = 'html')"""
+
+
+@query(f"WITH {_FILES} SELECT doc_id, kind, ord::BIGINT ord, text FROM r")
+def file_regions(s, d):
+    raw = _as_files(s, d)
+    regions, _ = readers.dispatched(raw)
+    named = readers.versions(raw).join(raw.select("path", "doc_id"), "path")
+    return named.join(regions, ["source_version_id", "ext"]).select("doc_id", "kind", "ord", "text")
+
+
+@query(f"""WITH {_FILES}, n AS (SELECT doc_id, count(*) n FROM r GROUP BY 1)
+SELECT doc_id, CASE WHEN ext = 'bin' THEN 'unreadable' WHEN ext = 'json' AND doc_id % 2 = 1 THEN 'partial' ELSE 'ready' END state, coalesce(n, 0) regions FROM f LEFT JOIN n USING (doc_id)""")
+def file_coverage(s, d):
+    raw = _as_files(s, d)
+    _, coverage = readers.dispatched(raw)
+    named = readers.versions(raw).join(raw.select("path", "doc_id"), "path")
+    return named.join(coverage, ["source_version_id", "ext"]).select("doc_id", "state", "regions")
+
+
+@query("""WITH m AS (SELECT doc_id, unnest(['front-matter', 'front-matter', 'work', 'back-matter', 'back-matter']) segment, unnest(['Title ' || doc_id, '*** START OF THE SAMPLE ***', 'Work of ' || source, '*** END OF THE SAMPLE ***', 'Licence']) AS text FROM documents WHERE source IS NOT NULL)
+SELECT doc_id, segment, text FROM m""")
+def work_segments(s, d):
+    t = F.concat(F.lit("Title "), F.col("doc_id").cast("string"), F.lit("\r\n*** START OF THE SAMPLE ***\n\nWork of "), F.col("source"), F.lit("\r*** END OF THE SAMPLE ***\nLicence\n"))
+    raw = table(s, d, "documents").where("source is not null").select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(".log")).alias("path"), t.cast("binary").alias("content"))
+    regions, _ = readers.dispatched(raw)
+    named = readers.versions(raw).join(raw.select("path", "doc_id"), "path")
+    return named.join(regions, ["source_version_id", "ext"]).select("doc_id", "segment", "text")
+
+
 _EDGE = r"regexp_replace({}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
 _CUT = f"""RECURSIVE p AS (SELECT doc_id, unnest(l) v, unnest(generate_series(1, len(l))) i FROM (SELECT doc_id, list_transform(string_split_regex(text, '\\n\\s*\\n'), lambda x: {_EDGE.format('x')}) l FROM documents WHERE text IS NOT NULL)),
 e AS (SELECT doc_id, i, v, 0::BIGINT a, NULL::VARCHAR piece FROM p UNION ALL

@@ -6,8 +6,10 @@ Python function over Arrow batches.  Every source gives a coverage row, also one
 
 from __future__ import annotations
 
+import csv
 import html
 import io
+import json
 import posixpath
 import re
 import zipfile
@@ -21,8 +23,6 @@ from pyspark.sql.window import Window
 
 from attestry.functions.text import utf16_length
 
-REGION = "source_version_id string, region_id string, kind string, ord long, start long, end long, text string, locator string, segment string"
-COVERAGE = "source_version_id string, state string, reason string, regions long"
 _BREAK = r"\r\n|\r|\n"
 
 
@@ -49,10 +49,11 @@ def lines(sources: DataFrame) -> DataFrame:
 
 
 def marked(regions: DataFrame, sources: DataFrame, begin: str = r"\*\*\* ?START OF [^\n]*?\*\*\*", stop: str = r"\*\*\* ?END OF [^\n]*?\*\*\*") -> DataFrame:
-    """``regions`` with ``segment``: before, within or after the marked work; all ``work`` without marks."""
+    """``regions`` with ``segment``: before, within or after the marked work; all ``work`` unless both marks stand in order."""
     at = sources.select("source_version_id", F.regexp_instr("text", F.lit(begin)).alias("_b"), F.length(F.regexp_substr("text", F.lit(begin))).alias("_bl"), F.regexp_instr("text", F.lit(stop)).alias("_e"), "text")
+    both = (F.col("_b") > 0) & (F.col("_e") >= F.col("_b") + F.col("_bl"))
     first, last = utf16_length(F.expr("substring(text, 1, _b - 1 + _bl)")), utf16_length(F.expr("substring(text, 1, _e - 1)"))
-    at = at.select("source_version_id", F.when(F.col("_b") > 0, first).alias("_from"), F.when(F.col("_e") > 0, last).alias("_to"))
+    at = at.select("source_version_id", F.when(both, first).alias("_from"), F.when(both, last).alias("_to"))
     seg = F.when(F.col("end") <= F.col("_from"), "front-matter").when(F.col("start") >= F.col("_to"), "back-matter").otherwise("work")
     return regions.join(at, "source_version_id").withColumn("segment", seg).drop("_from", "_to")
 
@@ -99,9 +100,22 @@ def csv_rows(spark: SparkSession, path: str, sep: str = ",", quoted: bool = True
     return d.select("file_path", (F.row_number().over(w) + 1).alias("row"), F.array_join(F.transform("cells", lambda c: F.concat(c["header"], F.lit(": "), c["value"])), "; ").alias("text"), "cells")
 
 
+@F.pandas_udf(T.BooleanType())
+def _is_json(s: pd.Series) -> pd.Series:
+    """Whether each text is one JSON document and nothing behind it, which the parsing expressions let pass."""
+    def one(x):
+        try:
+            json.loads(x)
+        except (ValueError, RecursionError, TypeError):
+            return False
+        return True
+
+    return s.map(one)
+
+
 def json_lines(sources: DataFrame) -> DataFrame:
     """(source_version_id, valid, ord, start, end, text): lines of JSON documents; invalid ones give one row without a line."""
-    v = sources.select("source_version_id", "text", F.expr("try_parse_json(text) is not null").alias("valid"))
+    v = sources.select("source_version_id", "text", _is_json("text").alias("valid"))
     good = lines(v.where("valid")).withColumn("valid", F.lit(True))
     bad = v.where("not valid").select("source_version_id", F.lit(None).cast("long").alias("ord"), F.lit(None).cast("long").alias("start"), F.lit(None).cast("int").alias("end"), F.lit(None).cast("string").alias("text"), F.lit(False).alias("valid"))
     return good.select("source_version_id", "valid", "ord", "start", "end", "text").unionByName(bad)
@@ -150,48 +164,90 @@ def pdf_pages(content: bytes, limit: int) -> list[tuple[str, str]]:
     return [(f"pdf-page:{i + 1}", t.strip()) for i, p in enumerate(PdfReader(io.BytesIO(content)).pages) if (t := p.extract_text() or "").strip()]
 
 
-_PARSERS = {"docx": docx_paragraphs, "epub": epub_paragraphs, "pdf": pdf_pages}
+def _table_rows(rows, kind: str) -> list[tuple[str, str]]:
+    """Records after the header as ``header: value; ...``; rows count from 2; missing values are empty, further ones left out."""
+    rows = [r for r in rows if r]
+    header = rows[0] if rows else []
+    return [(f"{kind}:{i + 2}", "; ".join(f"{h}: {r[j] if j < len(r) else ''}" for j, h in enumerate(header))) for i, r in enumerate(rows[1:])]
+
+
+def _decoded(content: bytes, limit: int) -> str:
+    if len(content) > limit:
+        raise ValueError("file larger than the limit")
+    return content.decode("utf-8", "replace")
+
+
+def csv_records(content: bytes, limit: int) -> list[tuple[str, str]]:
+    """Quoted cells may hold separators, line breaks and doubled quotes."""
+    return _table_rows(csv.reader(io.StringIO(_decoded(content, limit), newline="")), "csv-row")
+
+
+def tsv_records(content: bytes, limit: int) -> list[tuple[str, str]]:
+    """Nothing is quoted; empty lines are no records."""
+    return _table_rows((line.split("\t") for line in re.split(r"\r?\n", _decoded(content, limit)) if line), "csv-row")
+
+
+_PARSERS = {"docx": docx_paragraphs, "epub": epub_paragraphs, "pdf": pdf_pages, "csv": csv_records, "tsv": tsv_records}
+#: Read as lines; those of the first row may mark where the work begins and ends.
+MARKED = ("txt", "text", "md", "markdown", "log")
+LINED = (*MARKED, "xml", "json", "jsonl")
+PAGES = ("html", "htm", "xhtml")
 
 
 def files(spark: SparkSession, path: str, limit: int = 50_000_000) -> tuple[DataFrame, DataFrame]:
-    """(regions, coverage) of the files below ``path``, by extension; what isn't known is ``unreadable``.
+    """(regions, coverage) of the files below ``path``, see ``dispatched``."""
+    return dispatched(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path), limit)
+
+
+def versions(raw: DataFrame) -> DataFrame:
+    """(path, source_version_id, ext): each file's version, which is its digest, and its extension."""
+    return raw.select("path", F.concat(F.lit("srcv_"), F.substring(F.sha2("content", 256), 1, 32)).alias("source_version_id"), F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)).alias("ext"))
+
+
+def dispatched(raw: DataFrame, limit: int = 50_000_000) -> tuple[DataFrame, DataFrame]:
+    """(regions, coverage) of files (path, content), read by their extensions; what isn't known is ``unreadable``.
 
-    A file that can't be parsed or exceeds ``limit`` bytes unpacked is covered as ``partial`` or
-    ``deferred`` with the reason, and never stops the others.  A file's version is its digest.
+    Lines of texts, logs, XML and valid JSON; lines of JSON lines; rows of CSV and TSV; paragraphs of
+    HTML, DOCX and EPUB; pages of PDF.  Texts with marks of a work have segments.  Files with the same
+    content and extension are one source.  A file that can't be parsed or exceeds ``limit`` bytes
+    unpacked is covered as ``partial``, ``unreadable`` or ``deferred`` with the reason, and never stops the others.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    raw = raw.select("path", "content", F.sha2("content", 256).alias("digest"), F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)).alias("ext"))
-    raw = raw.withColumn("source_version_id", F.concat(F.lit("srcv_"), F.substring("digest", 1, 32)))
-    plain = raw.where(F.col("ext").isin("txt", "md", "text", "html", "xml", "csv", "tsv", "json", "jsonl")).select("source_version_id", "digest", "ext", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
-    okay = plain.where((F.col("ext") != "json") | F.expr("try_parse_json(text) is not null"))
-    ln = lines(okay.select("source_version_id", "text")).join(okay.select("source_version_id", "digest").distinct(), "source_version_id")
-    where = F.concat_ws(":", F.lit("text-line"), "ord", "start", "end")
-    a = ln.select("source_version_id", _region_id(F.col("digest"), where).alias("region_id"), F.lit("text-line").alias("kind"), "ord", "start", F.col("end").cast("long").alias("end"), "text", where.alias("locator"), F.lit("work").alias("segment"))
+    own = raw.select("content", F.sha2("content", 256).alias("digest"), F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)).alias("ext")).groupBy("digest", "ext").agg(F.first("content").alias("content"))
+    own = own.withColumn("version", F.concat(F.lit("srcv_"), F.substring("digest", 1, 32))).withColumn("source_version_id", F.concat_ws("/", "version", "ext"))
+    key = own.select("source_version_id", "version", "digest", "ext")
+    text = own.where(F.col("ext").isin(*LINED, *PAGES)).select("source_version_id", "ext", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
+    broken = F.when(F.col("ext") == "json", ~_is_json("text")).otherwise(False)
+    lined = text.where(F.col("ext").isin(*LINED) & ~broken)
+    kind = F.when(F.col("ext") == "jsonl", "json-line").otherwise("text-line")
+    marks = text.where(F.col("ext").isin(*MARKED))
+    ln = lines(lined.select("source_version_id", "text")).join(key.select("source_version_id", "ext"), "source_version_id")
+    work = marked(ln.where(F.col("ext").isin(*MARKED)), marks).unionByName(ln.where(~F.col("ext").isin(*MARKED)).withColumn("segment", F.lit("work")))
+    a = work.select("source_version_id", kind.alias("kind"), "ord", "start", F.col("end").cast("long").alias("end"), "text", F.concat_ws(":", kind, "ord", "start", "end").alias("locator"), "segment")
+    none = F.lit(None).cast("long")
+    para = paragraphs(text.where(F.col("ext").isin(*PAGES)), "source_version_id", "text")
+    h = para.select(F.col("id").alias("source_version_id"), F.lit("html-paragraph").alias("kind"), (F.col("pos") + 1).alias("ord"), none.alias("start"), none.alias("end"), "text", F.concat_ws(":", F.lit("html-paragraph"), (F.col("pos") + 1)).alias("locator"), F.lit("work").alias("segment"))
 
     def parse(batches):
         for b in batches:
             rows = []
             for v, ext, content in zip(b["source_version_id"], b["ext"], b["content"]):
                 try:
-                    for i, (loc, text) in enumerate(_PARSERS[ext](bytes(content), limit)):
-                        rows.append((v, ext, i + 1, text, loc, None))
+                    for i, (loc, t) in enumerate(_PARSERS[ext](bytes(content), limit)):
+                        rows.append((v, ext, i + 1, t, loc, None))
                 except ValueError as e:
                     rows.append((v, ext, None, None, None, f"deferred: {e}"))
                 except Exception as e:  # noqa: BLE001 - a broken file is covered, not fatal
                     rows.append((v, ext, None, None, None, f"unreadable: {type(e).__name__}: {e}"))
             yield pd.DataFrame(rows, columns=["source_version_id", "ext", "ord", "text", "locator", "problem"]).astype({"ord": "Int64"})
 
-    binary = raw.where(F.col("ext").isin(*_PARSERS))
-    got = binary.select("source_version_id", "ext", "content").mapInPandas(parse, "source_version_id string, ext string, ord long, text string, locator string, problem string")
-    got = got.join(binary.select("source_version_id", "digest").distinct(), "source_version_id")
-    kind = F.regexp_extract("locator", "^([a-z-]+)", 1)
-    b = got.where("problem is null").select("source_version_id", _region_id(F.col("digest"), F.col("locator")).alias("region_id"), kind.alias("kind"), "ord", F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("end"), "text", "locator", F.lit("work").alias("segment"))
-    regions = a.unionByName(b)
+    got = own.where(F.col("ext").isin(*_PARSERS)).select("source_version_id", "ext", "content").mapInPandas(parse, "source_version_id string, ext string, ord long, text string, locator string, problem string")
+    p = got.where("problem is null").select("source_version_id", F.regexp_extract("locator", "^([a-z-]+)", 1).alias("kind"), "ord", none.alias("start"), none.alias("end"), "text", "locator", F.lit("work").alias("segment"))
+    regions = a.unionByName(h).unionByName(p).join(key, "source_version_id")
     n = regions.groupBy("source_version_id").agg(F.count(F.lit(1)).alias("regions"))
     problem = got.where("problem is not null").groupBy("source_version_id").agg(F.first("problem").alias("problem"))
-    invalid = plain.where((F.col("ext") == "json") & F.expr("try_parse_json(text) is null")).select("source_version_id", F.lit("partial: invalid JSON").alias("problem")).distinct()
-    cover = raw.select("source_version_id", "ext").distinct().join(n, "source_version_id", "left").join(problem.unionByName(invalid), "source_version_id", "left")
-    known = F.col("ext").isin(*_PARSERS, "txt", "md", "text", "html", "xml", "csv", "tsv", "json", "jsonl")
+    invalid = text.where(broken).select("source_version_id", F.lit("partial: invalid JSON").alias("problem"))
+    cover = key.join(n, "source_version_id", "left").join(problem.unionByName(invalid), "source_version_id", "left")
+    known = F.col("ext").isin(*_PARSERS, *LINED, *PAGES)
     state = F.when(~known, "unreadable").when(F.col("problem").isNotNull(), F.regexp_extract("problem", "^([a-z]+)", 1)).otherwise("ready")
-    coverage = cover.select("source_version_id", state.alias("state"), F.when(~known, F.concat(F.lit("unsupported format: "), "ext")).otherwise(F.col("problem")).alias("reason"), F.coalesce("regions", F.lit(0)).alias("regions"))
-    return regions, coverage
+    coverage = cover.select(F.col("version").alias("source_version_id"), "ext", state.alias("state"), F.when(~known, F.concat(F.lit("unsupported format: "), "ext")).otherwise(F.col("problem")).alias("reason"), F.coalesce("regions", F.lit(0)).alias("regions"))
+    return regions.select(F.col("version").alias("source_version_id"), _region_id(F.col("digest"), F.col("locator")).alias("region_id"), "kind", "ord", "start", "end", "text", "locator", "segment", "ext"), coverage

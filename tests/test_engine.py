@@ -185,3 +185,13 @@ def _cases():
 def test_families(spark, case):
     _, records, rules, goal, want, sources, expected = case
     assert resolve(make(spark, records), goal, sources, want, rules).state == expected
+
+
+def test_goals_are_joined_where_they_share_variables(spark):
+    body = terms.goals(terms.read("(find (?x) (and (a ?x) (b ?y) (c ?x ?y) (d 1 ?z)))").args[0])
+    assert cj.linked(body) == [3, 0, 2, 1]
+    said = [("r1", "(a p)"), ("r2", "(a q)"), ("r3", "(b u)"), ("r4", "(b v)"), ("r5", "(c p u)"), ("r6", "(c q w)"), ("r7", "(d 1 k)"), ("r8", "(d 2 k)"), ("r9", "(d 1 m)")]
+    f = make(spark, [{"id": i, "ske": s} for i, s in said])
+    got = sorted((r.v_x, r.v_z) for r in cj.found(f, "(find (?x ?z) (and (a ?x) (b ?y) (c ?x ?y) (d 1 ?z)))").collect())
+    assert got == [("a:p", "a:k"), ("a:p", "a:m")]
+    assert cj.found(f, "(find (?x ?y) (and (a ?x) (b ?y)))").count() == 4
