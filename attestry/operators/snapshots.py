@@ -2,23 +2,21 @@
 
 A snapshot stores its own rows only (``put`` rows and ``drop`` keys per table) and names its parent; a
 read folds the chain of deltas, newest first, with one shuffle on the key.  A fork is a header, no
-copy.  Headers and head pointers are small JSON files on the driver's view of the store; heads change
-by compare-and-swap under a file lock; the root is a folder on a mount that driver and executors share.  ``compact`` writes the folded rows once, where chains grow long.
+copy.  Headers and head pointers are small JSON files on the file system of the root, any that Spark can
+reach; heads change by compare-and-swap under a lock.  ``compact`` writes the folded rows once, where chains grow long.
 """
 
 from __future__ import annotations
 
-import fcntl
 import json
-import os
 import uuid
-from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestry.operators import closure
+from attestry.storage import Files
 
 KEYS = {"sources": ["source_id"], "regions": ["source_version_id", "region_id"], "records": ["id"], "procedures": ["procedure_id", "version"], "coverage": ["id"], "reconciliations": ["event_id"]}
 
@@ -38,45 +36,37 @@ class Header:
 
 class Store:
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.removeprefix("file://")
-        self.data = f"file://{self.root}/snapshots"
-        os.makedirs(f"{self.root}/projects", exist_ok=True)
-        os.makedirs(f"{self.root}/snapshots", exist_ok=True)
+        self.spark, self.files = spark, Files(spark, root)
+        self.data = f"{self.files.root}/snapshots"
+        self.files.mkdirs("projects")
+        self.files.mkdirs("snapshots")
 
     # Headers and pointers
 
-    def _write(self, path: str, value: dict) -> None:
-        temp = f"{path}.{uuid.uuid4().hex}"
-        with open(temp, "w") as f:
-            json.dump(value, f)
-        os.replace(temp, path)
+    def _write(self, name: str, value: dict) -> None:
+        self.files.write(name, json.dumps(value))
 
     def project(self, project: str) -> dict:
-        with open(f"{self.root}/projects/{project}.json") as f:
-            return json.load(f)
+        return json.loads(self.files.read(f"projects/{project}.json"))
 
     def header(self, snapshot: str) -> Header:
-        with open(f"{self.root}/snapshots/{snapshot}.json") as f:
-            h = json.load(f)
+        h = json.loads(self.files.read(f"snapshots/{snapshot}.json"))
         return Header(h["id"], h["project"], h["parent"], tuple(h["tables"]), h.get("base", False))
 
-    @contextmanager
     def _locked(self, project: str):
-        with open(f"{self.root}/projects/{project}.lock", "w") as f:
-            fcntl.flock(f, fcntl.LOCK_EX)
-            yield
+        return self.files.locked(f"projects/{project}.lock")
 
     def _add(self, project: str, parent: str | None, tables: dict[str, DataFrame], base: bool = False) -> str:
         sid = f"snap_{uuid.uuid4().hex}"
         for name, df in tables.items():
             df.write.parquet(f"{self.data}/{sid}/{name}")
-        self._write(f"{self.root}/snapshots/{sid}.json", {"id": sid, "project": project, "parent": parent, "tables": sorted(tables), "base": base})
+        self._write(f"snapshots/{sid}.json", {"id": sid, "project": project, "parent": parent, "tables": sorted(tables), "base": base})
         return sid
 
     def create(self, name: str) -> str:
         project = f"proj_{uuid.uuid4().hex}"
         head = self._add(project, None, {}, base=True)
-        self._write(f"{self.root}/projects/{project}.json", {"id": project, "name": name, "head": head, "parent_project": None, "pinned": None})
+        self._write(f"projects/{project}.json", {"id": project, "name": name, "head": head, "parent_project": None, "pinned": None})
         return project
 
     def fork(self, parent: str, name: str, snapshot: str | None = None) -> str:
@@ -85,11 +75,11 @@ class Store:
             raise ValueError("a fork is pinned to a snapshot of its parent")
         project = f"proj_{uuid.uuid4().hex}"
         head = self._add(project, pinned, {})
-        self._write(f"{self.root}/projects/{project}.json", {"id": project, "name": name, "head": head, "parent_project": parent, "pinned": pinned})
+        self._write(f"projects/{project}.json", {"id": project, "name": name, "head": head, "parent_project": parent, "pinned": pinned})
         return project
 
     def projects(self) -> list[dict]:
-        names = sorted(n for n in os.listdir(f"{self.root}/projects") if n.endswith(".json"))
+        names = [n for n in self.files.names("projects") if n.endswith(".json")]
         return [self.project(n[:-5]) for n in names]
 
     def chain(self, snapshot: str) -> list[Header]:
@@ -144,7 +134,7 @@ class Store:
             p = self.project(project)
             tables = {t: self.read(p["head"], t).withColumn("_gone", F.lit(False)) for t in {t for h in self.chain(p["head"]) for t in h.tables}}
             p["head"] = self._add(project, p["head"], tables, base=True)
-            self._write(f"{self.root}/projects/{project}.json", p)
+            self._write(f"projects/{project}.json", p)
             return p["head"]
 
     # Changes
@@ -172,7 +162,7 @@ class Store:
                     tables["records"] = marks.unionByName(tables["records"], allowMissingColumns=True) if fresh is not None else marks
             head = self._add(project, expected, tables)
             p["head"] = head
-            self._write(f"{self.root}/projects/{project}.json", p)
+            self._write(f"projects/{project}.json", p)
             return head
 
     def _stale(self, before: str, put: dict[str, DataFrame]) -> DataFrame | None:
@@ -237,7 +227,7 @@ class Store:
                 hit = kept.join(marks, "id", "left_semi").withColumn("lifecycle", F.lit("stale")).withColumn("stale_reason", F.lit("rebase-parent-version-changed")).withColumn("_gone", F.lit(False))
                 head = self._add(project, head, {"records": hit})
             p |= {"head": head, "pinned": onto}
-            self._write(f"{self.root}/projects/{project}.json", p)
+            self._write(f"projects/{project}.json", p)
             return head
 
     def _check_rebase(self, old: str, new: str, own: DataFrame | None) -> None:

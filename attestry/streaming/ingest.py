@@ -12,15 +12,26 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from attestry.operators import closure
+from attestry.storage import Files
 
 
 def ingest(stream: DataFrame, target: str, checkpoint: str, key: list[str], on_batch: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
-    """Appends each batch to ``target`` (one folder per batch, rewritten if the batch is retried, so nothing comes twice) and calls ``on_batch``."""
+    """Appends each batch to ``target`` and calls ``on_batch`` with what was new in it.
+
+    One folder per batch, rewritten if the batch is retried; keys of earlier batches are left out, so
+    nothing comes twice, whether in a batch, by a retry or in a later batch.
+    """
 
     def each(batch: DataFrame, n: int) -> None:
-        batch.dropDuplicates(key).withColumn("_batch", F.lit(n)).write.mode("overwrite").parquet(f"{target}/batch={n}")
+        spark = batch.sparkSession
+        new = batch.dropDuplicates(key)
+        before = [f for f in Files(spark, target).names("") if f.startswith("batch=") and int(f.removeprefix("batch=")) < n]
+        if before:
+            done = spark.read.parquet(*[f"{target}/{f}" for f in before]).select(*[F.col(k).alias(f"_{k}") for k in key])
+            new = new.join(done, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key], "left_anti")
+        new.withColumn("_batch", F.lit(n)).write.mode("overwrite").parquet(f"{target}/batch={n}")
         if on_batch:
-            on_batch(batch.sparkSession.read.parquet(f"{target}/batch={n}"), n)
+            on_batch(spark.read.parquet(f"{target}/batch={n}"), n)
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -34,5 +34,8 @@ def test_stream_processes_each_file_once(spark, tmp_path):
     run()
     run()
     assert seen == [(0, 2), (1, 1)] and rows(spark.read.parquet(out), "chunk_id") == [("a",), ("b",), ("c",)]
+    spark.createDataFrame([("a", "again"), ("d", "w")], "chunk_id string, text string").coalesce(1).write.mode("append").parquet(src)
+    run()
+    assert seen[2:] == [(2, 1)] and rows(spark.read.parquet(out), "chunk_id") == [("a",), ("b",), ("c",), ("d",)]
     ledger = spark.createDataFrame([("a", "processed"), ("b", "failed")], "chunk_id string, state string")
-    assert rows(ingest.pending(spark.read.parquet(out), ledger), "chunk_id") == [("b",), ("c",)]
+    assert rows(ingest.pending(spark.read.parquet(out), ledger), "chunk_id") == [("b",), ("c",), ("d",)]

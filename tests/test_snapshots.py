@@ -72,3 +72,22 @@ def test_procedures_are_fixed_and_activated(spark, store):
     store.commit(f, store.project(f)["head"], {"procedures": proc(("k", "2", "another", False))})
     with pytest.raises(Conflict):
         store.rebase(f, h2)
+
+
+def test_files_without_a_kernel_lock(spark, tmp_path):
+    """As on a remote file system: texts are replaced whole, locks are files that only one can create."""
+    from attestry.storage import Files
+
+    f = Files(spark, str(tmp_path))
+    f.local = None
+    f.write("a.json", "one")
+    f.write("a.json", "twö")
+    assert f.read("a.json") == "twö" and f.names("") == ["a.json"] and f.names("none") == []
+    with f.locked("x.lock"):
+        with pytest.raises(TimeoutError):
+            with f.locked("x.lock", wait=0.3):
+                pass
+        with f.locked("x.lock", wait=0.3, lease=-1.0):  # left behind by a driver that is gone
+            pass
+    with pytest.raises(FileNotFoundError):
+        f.read("b.json")
