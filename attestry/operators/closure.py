@@ -6,6 +6,8 @@ reach the driver.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,27 +25,27 @@ def authorised(records: DataFrame, sources, lenient: bool = False) -> DataFrame:
     what doesn't exist, are never in.
     """
     scratch = Scratch(records.sparkSession, "authorised")
+    records = scratch.write(records.select(*[c for c in ("id", "source_version_id", "source_id", "dependencies") if c in records.columns]), "records")
     own = fx.in_sources(sources, records).select("id").distinct()
     deps = F.coalesce("dependencies", F.array().cast("array<string>"))
-    edge = scratch.write(records.select("id", F.explode(F.array_distinct(deps)).alias("dep")).where("dep is not null"), "edges")
-    seeds = own if lenient else own.join(edge.select("id").distinct(), "id", "left_anti")
+    edge = scratch.write(records.select("id", F.explode(F.array_distinct(deps)).alias("dep")).where("id is not null and dep is not null").distinct(), "edges")
+    needs = scratch.write(edge.groupBy("id").agg(F.count(F.lit(1)).alias("needs")), "needs")
+    seeds = own if lenient else own.join(needs.select("id"), "id", "left_anti")
     if isinstance(sources, DataFrame):
         named = sources.select("id").distinct()
     else:
         named = records.sparkSession.createDataFrame([(s,) for s in sources or []], "id string")
-    ok = scratch.write(seeds.unionByName(named).distinct(), "ok_0")
-    left, n = ok.count(), 0
-    while True:
+    # A round looks only at records that the last one let something of in: a record is in when all it needs is.
+    front = first = scratch.write(seeds.unionByName(named).distinct(), "ok_0")
+    ok, n = [first], 0
+    while not front.isEmpty():
         n += 1
-        missing = edge.join(ok.select(F.col("id").alias("dep")), "dep", "left_anti").select("id").distinct()
-        more = edge.select("id").distinct().join(missing, "id", "left_anti")
-        new = scratch.write(ok.unionByName(more).distinct(), f"ok_{n}")
-        now = new.count()
-        ok = new
-        if now == left:
-            break
-        left = now
-    return ok.join(records.select("id").distinct(), "id", "left_semi")
+        all_in = reduce(DataFrame.unionByName, ok).select(F.col("id").alias("dep"), F.lit(1).alias("there"))
+        new = front.select(F.col("id").alias("dep"), F.lit(1).alias("new"))
+        met = edge.join(all_in, "dep").join(new, "dep", "left").groupBy("id").agg(F.count("there").alias("met"), F.count("new").alias("new")).where("new > 0")
+        front = scratch.write(needs.join(met, "id").where("met = needs").select("id").join(first, "id", "left_anti"), f"ok_{n}")
+        ok.append(front)
+    return records.select("id").distinct().join(reduce(DataFrame.unionByName, ok), "id", "left_semi")
 
 
 def spread(seeds: DataFrame, edges: DataFrame) -> DataFrame:
