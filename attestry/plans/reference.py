@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from attestry import facts as fx
 from attestry.functions.text import label
-from attestry.operators import audit, closure, entities, graph, metrics, procedures, retrieve, scan
+from attestry.operators import audit, catalog, closure, entities, graph, metrics, procedures, retrieve, scan
 from attestry.operators.reason import Rule, reason
 from attestry.operators.resolve import resolve
 from attestry.plans import conjunctive as cj
@@ -339,14 +339,13 @@ def term_frequency(s, d):
 @query(f"""WITH {_PASSAGES}, a AS (SELECT id, pred, unnest(string_split(regexp_extract(ske, '^\\(\\S+ (.*)\\)$', 1), ' ')) arg, unnest([0, 1])::BIGINT "position" FROM p WHERE lifecycle <> 'stale')
 SELECT pred, "position", arg, count(DISTINCT id) n_records FROM a GROUP BY 1, 2, 3""")
 def argument_postings(s, d):
-    f = src.passage_facts(s, d).where("lifecycle <> 'stale'")
-    a = f.select("id", "pred", F.posexplode("args").alias("position", "arg")).where("arg like 'a:%'")
-    return a.groupBy("pred", F.col("position").cast("long").alias("position"), F.substring("arg", 3, 200).alias("arg")).agg(F.countDistinct("id").alias("n_records"))
+    posted = catalog.postings(src.passage_facts(s, d).where("lifecycle <> 'stale'"))
+    return posted.groupBy("pred", "position", "arg").agg(F.count(F.lit(1)).alias("n_records"))
 
 
 @query(f"""WITH {_PASSAGES} SELECT pred, 2::BIGINT arity, count(*) n, min(ske) example FROM p GROUP BY pred""")
 def vocabulary(s, d):
-    return src.passage_facts(s, d).groupBy("pred", F.col("arity").cast("long").alias("arity")).agg(F.count(F.lit(1)).alias("n"), F.min("expr_key").alias("example"))
+    return catalog.vocabulary(src.passage_facts(s, d))
 
 
 _QUERIES = [("q1", "the unfinished letter of the weaver"), ("q2", "assessment of the granary and the copper kettle"), ("q3", "rope lantern lantern bridge")]
@@ -484,7 +483,7 @@ def usage_delta(s, d):
 
 @query("SELECT user_id, event_type, max_by(event_id, (ts, event_id)) event_id FROM events GROUP BY 1, 2")
 def distinct_last_wins(s, d):
-    return table(s, d, "events").groupBy("user_id", "event_type").agg(F.max(F.struct("ts", "event_id")).alias("m")).select("user_id", "event_type", "m.event_id")
+    return latest(table(s, d, "events"), ["user_id", "event_type"], ["event_id"], "ts")
 
 
 # Procedures, audits, evaluation
@@ -587,8 +586,7 @@ def entity_merge(s, d):
 
 @query(f"""SELECT q normal, count(*) n FROM (SELECT trim(regexp_replace(lower(question), '[\\s\\p{{Z}}]+', ' ', 'g')) q FROM {held('questions')}) WHERE q <> '' GROUP BY 1 HAVING count(*) > 1""")
 def question_duplicates(s, d):
-    q = latest(table(s, d, "questions"), "id", ["question"]).select(F.trim(F.regexp_replace(F.lower("question"), r"(?U)\s+", " ")).alias("normal"))
-    return q.where("normal <> ''").groupBy("normal").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return catalog.duplicates(latest(table(s, d, "questions"), "id", ["question"]), "question")
 
 
 @query(f"""SELECT b profile, p procedure, s source_id FROM (SELECT DISTINCT lower(trim(sourceId)) s FROM source_versions) CROSS JOIN (VALUES ('short'), ('long')) x(b) CROSS JOIN (VALUES ('audit'), ('rubric')) y(p)""")
