@@ -12,8 +12,11 @@ from attestry.scratch import Scratch
 #: Up to three title-case words; word limits are ASCII, which both engines of the comparison share.
 TITLE = r"(?<![A-Za-z0-9_])[A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,2}(?![A-Za-z0-9_])"
 
+# Title-case phrases of a library's own frame, which are no names.
+DENY = ["The Project Gutenberg", "Project Gutenberg", "The End"]
 
-def entities(docs: DataFrame, id: str = "id", text: str = "text", most: int = 40, deny: list[str] | None = None) -> DataFrame:
+
+def entities(docs: DataFrame, id: str = "id", text: str = "text", most: int = 40, deny: list[str] | None = DENY) -> DataFrame:
     """(id, entity, pos): the first ``most`` different title-case names of each document."""
     found = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(TITLE), F.lit(0)))
     if deny:
@@ -30,7 +33,7 @@ def cooccurrence(ents: DataFrame, relations: DataFrame | None = None) -> DataFra
     pairs = lists.select(F.explode(F.expr("flatten(transform(e, (x, i) -> transform(slice(e, i + 2, size(e)), y -> struct(x as a, y as b))))")).alias("p")).select("p.*")
     e = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("weight"))
     if relations is not None:
-        r = relations.select(F.least("subject", "object").alias("a"), F.greatest("subject", "object").alias("b")).where("a is not null and b is not null")
+        r = relations.where("subject is not null and object is not null").select(F.least("subject", "object").alias("a"), F.greatest("subject", "object").alias("b"))
         e = e.unionByName(r.groupBy("a", "b").agg((F.count(F.lit(1)) * 2).alias("weight"))).groupBy("a", "b").agg(F.sum("weight").alias("weight"))
     return e
 
@@ -120,8 +123,18 @@ def communities(edges: DataFrame, nodes: DataFrame | None = None, least: float =
     return homes.join(first, "c").select("entity", "community")
 
 
-def summaries(ents: DataFrame, homes: DataFrame, docs: DataFrame, central: int = 12, passages: int = 4) -> DataFrame:
-    """(community, n_documents, entities, summary): the names in most documents and the first passages."""
+def inside(relations: DataFrame, homes: DataFrame, most: int = 20) -> DataFrame:
+    """(community, relations): up to ``most`` stated relations (subject, predicate, object) between names of one community, in order."""
+    a, b = homes.select(F.col("entity").alias("subject"), "community"), homes.select(F.col("entity").alias("object"), F.col("community").alias("_c"))
+    r = relations.select("subject", "predicate", "object").distinct().join(a, "subject").join(b, "object").where("community = _c")
+    said = F.concat_ws(" ", "subject", "predicate", "object")
+    rank = F.row_number().over(Window.partitionBy("community").orderBy("said"))
+    r = r.select("community", said.alias("said")).distinct().withColumn("r", rank).where(F.col("r") <= most)
+    return r.groupBy("community").agg(F.array_sort(F.collect_list("said")).alias("relations"))
+
+
+def summaries(ents: DataFrame, homes: DataFrame, docs: DataFrame, central: int = 12, passages: int = 4, relations: DataFrame | None = None) -> DataFrame:
+    """(community, n_documents, entities, summary): the names in most documents, stated relations between them and the first passages."""
     e = ents.join(homes, "entity")
     size = e.groupBy("community").agg(F.countDistinct("id").alias("n_documents"))
     per = e.groupBy("community", "entity").agg(F.countDistinct("id").alias("n"))
@@ -130,7 +143,9 @@ def summaries(ents: DataFrame, homes: DataFrame, docs: DataFrame, central: int =
     d = e.select("community", "id").distinct().withColumn("r", F.row_number().over(Window.partitionBy("community").orderBy("id"))).where(F.col("r") <= passages)
     text = d.join(docs.select("id", "text"), "id").groupBy("community").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "text"))), lambda s: s["text"]), " ").alias("passages"))
     j = names.join(text, "community").join(size, "community")
-    return j.select("community", "n_documents", "entities", F.concat_ws(" ", F.concat(F.lit("Names: "), F.array_join("entities", ", "), F.lit(".")), "passages").alias("summary"))
+    j = j.join(inside(relations, homes), "community", "left") if relations is not None else j.withColumn("relations", F.lit(None).cast("array<string>"))
+    stated = F.when(F.size("relations") > 0, F.concat(F.lit("Relations: "), F.array_join("relations", "; "), F.lit(".")))
+    return j.select("community", "n_documents", "entities", F.concat_ws(" ", F.concat(F.lit("Names: "), F.array_join("entities", ", "), F.lit(".")), stated, "passages").alias("summary"))
 
 
 def graph_scores(ents: DataFrame, homes: DataFrame, summary: DataFrame, query: str, k: int = 10, best: int = 4, weight: float = 0.1) -> DataFrame:

@@ -12,6 +12,7 @@ from attestry.operators.resolve import resolve
 from attestry.plans import conjunctive as cj
 from attestry.plans import sources as src
 from attestry.plans.general import norm
+from attestry.scratch import Scratch
 from attestry.sources import chunks, readers
 from attestry.tables import latest, table
 
@@ -439,6 +440,16 @@ def cooccurrence_edges(s, d):
     return graph.cooccurrence(graph.entities(table(s, d, "documents"), "doc_id"))
 
 
+@query(f"""WITH {_ENT}, {_PASSAGES}, rel AS (SELECT split_part(regexp_extract(ske, '^\\(\\S+ (.*)\\)$', 1), ' ', 1) s, split_part(regexp_extract(ske, '^\\(\\S+ (.*)\\)$', 1), ' ', 2) o FROM p),
+e AS (SELECT p.entity a, q.entity b, 1 w FROM ent p JOIN ent q ON p.doc_id = q.doc_id AND p.entity < q.entity UNION ALL SELECT least(s, o), greatest(s, o), 2 FROM rel)
+SELECT a, b, sum(w)::BIGINT weight FROM e GROUP BY 1, 2""")
+def relation_edges(s, d):
+    """Names that stand in one document, and what passages state of two things, which weighs twice."""
+    f = src.passage_facts(s, d).where("arity = 2")
+    word = lambda i: F.substring(F.col("args")[i], 3, 1 << 30)
+    return graph.cooccurrence(graph.entities(table(s, d, "documents"), "doc_id"), f.select(word(0).alias("subject"), F.col("pred").alias("predicate"), word(1).alias("object")))
+
+
 @query(None)
 def graph_communities(s, d):
     ents = graph.entities(table(s, d, "documents"), "doc_id")
@@ -448,8 +459,9 @@ def graph_communities(s, d):
 @query(None)
 def graph_search(s, d):
     docs = table(s, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    ents = graph.entities(docs)
-    homes = graph.communities(graph.cooccurrence(ents), ents)
+    scratch = Scratch(s, "graph")
+    ents = scratch.write(graph.entities(docs), "entities")
+    homes = scratch.write(graph.communities(graph.cooccurrence(ents), ents), "homes")
     return graph.graph_scores(ents, homes, graph.summaries(ents, homes, docs), "the copper kettle of Louskovald")
 
 

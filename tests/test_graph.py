@@ -42,3 +42,14 @@ def test_moves_end_where_none_gains_at_every_size(spark):
     assert abs(graph.modularity(edges, made) - q) < 1e-9 and q >= 0.85 * quality(planted)
     rough = dict(rows(graph.communities(edges, least=0.01), "entity", "community"))
     assert 0.5 * q < quality(rough) <= q + 1e-9
+
+
+def test_relations_and_deny_list(spark):
+    docs = spark.createDataFrame([(1, "The End. Anna met Bo."), (2, "Anna saw Carl"), (3, "Dora")], "id long, text string")
+    ents = graph.entities(docs)
+    assert "The End" not in {r.entity for r in ents.collect()}
+    rel = spark.createDataFrame([("Bo", "owes", "Anna"), ("Anna", "knows", "Dora"), (None, "x", "Anna"), ("Bo", "owes", "Anna")], "subject string, predicate string, object string")
+    assert rows(graph.cooccurrence(ents, rel)) == [("Anna", "Bo", 5), ("Anna", "Carl", 1), ("Anna", "Dora", 2)]
+    homes = spark.createDataFrame([("Anna", "Anna"), ("Bo", "Anna"), ("Carl", "Anna"), ("Dora", "Dora")], "entity string, community string")
+    s = {r.community: r.summary for r in graph.summaries(ents, homes, docs, relations=rel).collect()}
+    assert s["Anna"].startswith("Names: Anna, Bo, Carl. Relations: Bo owes Anna. The End.") and s["Dora"] == "Names: Dora. Dora"
