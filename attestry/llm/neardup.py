@@ -195,17 +195,15 @@ class NearDuplicates:
         met = s.write(met, "met")
         del index, a, b
         s.release()
-        # Positional bytes as whole numbers: 16 bits of the position, 16 of what is behind it. Their sets differ in no more places than the words do.
-        bytes_of = F.array_distinct(F.transform(F.split("wset", " "), lambda w: F.xxhash64(w).bitwiseAND(0x7FFFFFFF).cast("int")))
-        left = classes.select(F.col("cid").alias("a_cid"), F.size(F.split("wset", " ")).alias("a_n"), bytes_of.alias("a_h"))
-        right = classes.select(F.col("cid").alias("b_cid"), F.size(F.split("wset", " ")).alias("b_n"), bytes_of.alias("b_h"))
-        both = met.hint("merge").join(left, "a_cid").hint("merge").join(right, "b_cid").withColumn("shared", F.size(F.array_intersect("a_h", "b_h")))
-        near = s.write(both.where(f"size(a_h) + size(b_h) - 2 * shared <= a_n + b_n - 2 * {o}").select("a_cid", "b_cid"), "candidates")
-        s.release()
+        # Positional bytes as whole numbers: 16 bits of the position, 15 of what is behind it. Their sets differ in no more places than the words do.
+        bytes_of = lambda w: F.array_distinct(F.transform(F.col(w), lambda x: F.xxhash64(x).bitwiseAND(0x7FFFFFFF).cast("int")))
         left = classes.select(F.col("cid").alias("a_cid"), F.split("wset", " ").alias("a_w"))
         right = classes.select(F.col("cid").alias("b_cid"), F.split("wset", " ").alias("b_w"))
-        both = near.hint("merge").join(left, "a_cid").hint("merge").join(right, "b_cid").withColumn("shared", F.size(F.array_intersect("a_w", "b_w")))
-        exact = both.where(f"shared * {p + q} >= {p} * (size(a_w) + size(b_w))")
+        both = met.hint("merge").join(left, "a_cid").hint("merge").join(right, "b_cid").withColumn("a_h", bytes_of("a_w")).withColumn("b_h", bytes_of("b_w"))
+        # Pairs whose tally of shared positional bytes reaches the guaranteed minimum are verified on the words.
+        apart = F.size("a_h") + F.size("b_h") - 2 * F.size(F.array_intersect("a_h", "b_h"))
+        near = both.where(apart <= F.expr(f"size(a_w) + size(b_w) - 2 * {_least('size(a_w)', 'size(b_w)', p, q)}"))
+        exact = near.where(F.size(F.array_intersect("a_w", "b_w")) * (p + q) >= p * (F.size("a_w") + F.size("b_w")))
         self.pairs = s.write(exact.select(F.col("a_cid").alias("a"), F.col("b_cid").alias("b")), "pairs")
         s.release()
 
