@@ -39,7 +39,7 @@ USUAL, DEEPEST = 3, 6
 #: A run that more than LIMIT records have, by one record in EVERY, is frequent; of those the HOTTEST are made longer or divided.
 LIMIT, EVERY, HOTTEST = 16_384, 64, 100_000
 #: Rows of the index in one partition.
-ROWS = 300_000
+ROWS = 350_000
 _MASK = (1 << 64) - 1
 _MIX = 0x9E3779B97F4A7C15
 
@@ -134,8 +134,10 @@ def _indexer(counts: np.ndarray, total: int, p: int, q: int, postings: float, fr
                             owner += [r] * len(k)
                             words += [len(hg)] * len(k)
             o = np.array(owner, dtype=np.int64)
-            # Narrow rows: they are what is shuffled. A key that stands for two runs only costs a look.
-            yield pd.DataFrame({"key": np.array(keys, dtype=np.int64), "cid": b["cid"].to_numpy()[o], "sketch": sketch.view(np.int64)[o], "n": lens[o].astype(np.int32), "g": np.array(words, dtype=np.int32), "s": np.array(skips, dtype=np.int32)})
+            # Narrow rows: they are what is shuffled. A key that stands for two runs only costs a look. ``p`` has the words
+            # of the record (32 bits), those of the group (16, which are far more than the some twenty of a group) and the skipped ones.
+            packed = (lens[o].astype(np.int64) << 32) | (np.array(words, dtype=np.int64) << 16) | np.array(skips, dtype=np.int64)
+            yield pd.DataFrame({"key": np.array(keys, dtype=np.int64), "cid": b["cid"].to_numpy()[o], "sketch": sketch.view(np.int64)[o], "p": packed})
 
     return index
 
@@ -182,15 +184,16 @@ class NearDuplicates:
         for slot, n in per_slot.collect():  # at most SLOTS rows, whatever the input
             counts[slot] = n
         total = classes.count()
-        columns = "key long, cid long, sketch long, n int, g int, s int"
+        columns = "key long, cid long, sketch long, p long"
         frequent, cells, rows = self._frequent(hashed, lambda f: _indexer(counts, total, p, q, postings, f, {}), columns, limit, every)
         index = hashed.mapInPandas(_indexer(counts, total, p, q, postings, frequent, cells), columns)
         # So many partitions that each stays small at any size of the input.
         index = index.repartition(max(int(s.spark.conf.get("spark.sql.shuffle.partitions")), rows // ROWS), "key")
-        a = index.select("key", *[F.col(c).alias(f"a_{c}") for c in ("cid", "sketch", "n", "g", "s")])
-        b = index.select("key", *[F.col(c).alias(f"b_{c}") for c in ("cid", "sketch", "n", "g", "s")])
-        o, og = _least("a_n", "b_n", p, q), _least("a_g", "b_g", p, q)
-        tally = F.expr(f"a_cid < b_cid and bit_count(a_sketch ^ b_sketch) <= a_n + b_n - 2 * {o} and a_s <= a_g - {og} and b_s <= b_g - {og}")
+        a = index.select("key", *[F.col(c).alias(f"a_{c}") for c in ("cid", "sketch", "p")])
+        b = index.select("key", *[F.col(c).alias(f"b_{c}") for c in ("cid", "sketch", "p")])
+        n, g, skips = ([e.format(x) for x in "ab"] for e in ("shiftright({}_p, 32)", "(shiftright({}_p, 16) & 65535)", "({}_p & 65535)"))
+        o, og = _least(*n, p, q), _least(*g, p, q)
+        tally = F.expr(f"a_cid < b_cid and bit_count(a_sketch ^ b_sketch) <= {n[0]} + {n[1]} - 2 * {o} and {skips[0]} <= {g[0]} - {og} and {skips[1]} <= {g[1]} - {og}")
         met = a.hint("merge").join(b, (a.key == b.key) & tally).select("a_cid", "b_cid").distinct()
         met = s.write(met, "met")
         del index, a, b
