@@ -65,8 +65,8 @@ def test_graph(spark):
     e = {(r.a, r.b): r.weight for r in graph.cooccurrence(ents, rel).collect()}
     assert e == {("Anna Smith", "Bo"): 2, ("Anna Smith", "Rome"): 1, ("Bo", "Rome"): 3, ("Carl", "Dora"): 2}
     edges = graph.cooccurrence(ents)
-    for small in (50_000, 0):
-        home = dict(rows(graph.communities(edges, small=small)))
+    for least in (1e-4, 0.0):
+        home = dict(rows(graph.communities(edges, least=least)))
         assert home["Carl"] == home["Dora"] != home["Bo"] == home["Anna Smith"]
     homes = graph.communities(edges)
     s = graph.summaries(ents, homes, docs)
