@@ -12,6 +12,8 @@ only quotes, shows or tells a story about does not count.
 from __future__ import annotations
 
 import re
+from collections import deque
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -91,12 +93,18 @@ SHOWS = re.compile(r"\b(?:writes?|marked|noted|called|named|spelled|prints?|type
 TALKS = re.compile(r"\b(?:slots?|placeholders?|templates?|syntax|variables?|markers?|markup|platzhalter|vorlagen?|balises?|gabarits?|plantillas?|marcador(?:es)?)\b", re.I)
 #: The best-known words of pseudo-Latin filler; the rest of it is made up.
 LATIN = frozenset("lorem ipsum dolor amet consectetur adipiscing elit eiusmod tempor incididunt aliqua".split())
+#: So many of them within so many characters, wherever in a text, are filler.
+MANY, NEAR = 6, 400
 # Frequent words of the four languages that Latin doesn't use; a sentence in one of them has some.
 _KNOWN = frozenset(
     "the of to and was had is it that he she they his her with for on at by from as be not but an this which who when there were are has have would could been some for said so into than then what where why how did does or if all no one "
     "der die das und nicht mit von dem den ein eine einen einer war ist sie er zu auf im dass wer als wie noch auch nach bei aus für sich es so man hat hatte wird aber oder wenn was wo "
     "le les des un une était du que qui dans pas avec pour il elle au aux ne la une fois plus sur chez ce cette ou où quand comme mais "
     "el los las y con para por una no su lo ya que cuando más pero como del al muy se qué".split())
+# Those of them that pseudo-Latin has too.
+_SHARED = frozenset("do qui has his no ne an".split())
+_CELL = re.compile(_SENTENCE.pattern + r"|[|\t]")
+_QUOTED = re.compile(r"(?<=\w\s)(?:\"[^\"\r\n]+\"|“[^“”\r\n]+”|„[^„“”\r\n]+[“”]|«[^«»\r\n]+»|'[^'\r\n]+'(?!\w))")
 #: Sentences of four and more words of letters only, in lower case but for the first letter.
 _PLAIN = re.compile(r"(?:(?<=[.!?…]\s)|^)[^\W\d_A-ZÀ-Þ]?[^\W\d_]?[^\W\d_A-ZÀ-Þ]*(?: [^\W\d_A-ZÀ-Þ]+){3,}(?=[.!?…]|$)", re.M)
 
@@ -212,10 +220,44 @@ def shown(text: str, start: int, end: int) -> bool:
     return tight or bool(SHOWS.search(before)) or bool(TALKS.search(around(text, start, end)))
 
 
+def latin_words(flat: str) -> Iterator[re.Match]:
+    """The best-known words of pseudo-Latin in a lower-case text, but for quoted and mentioned ones.
+
+    One or two of them with frequent words of the four languages around them in their sentence or cell are only mentioned.
+    """
+    flat = _QUOTED.sub(lambda m: " " * len(m.group()), flat)
+    begin = 0
+    for end in [*_CELL.finditer(flat), None]:
+        runs, prose = [[]], False
+        for m in _TOKEN.finditer(flat, begin, end.start() if end else len(flat)):
+            if m.group() in LATIN:
+                runs[-1].append(m)
+            elif m.group() in _KNOWN and m.group() not in _SHARED:
+                prose = True
+                if runs[-1]:
+                    runs.append([])
+        for run in runs:
+            if len(run) > 2 or not prose:
+                yield from run
+        begin = end.end() if end else begin
+
+
+def latin_passage(flat: str) -> bool:
+    """Whether the best-known words of pseudo-Latin stand close together anywhere in a lower-case text; dolor, also Spanish, only beside others."""
+    if sum(map(flat.count, LATIN)) < MANY:
+        return False
+    last = deque(maxlen=MANY)
+    for m in latin_words(flat):
+        last.append(m)
+        if len(last) == MANY and m.end() - last[0].start() <= NEAR and any(x.group() != "dolor" for x in last):
+            return True
+    return False
+
+
 def latin_filler(text: str) -> bool:
-    """Running text of no known language: two sentences or a long one of plain lower-case words, none of them a frequent word of the four languages."""
+    """Running text of no known language: a passage of well-known pseudo-Latin, or two sentences or a long one of plain lower-case words, none of them a frequent word of the four languages."""
     words = sentences = 0
-    if sum(w in LATIN for w in _TOKEN.findall(text[:400].lower())) > 5:
+    if latin_passage(text.lower()):
         return True
     for m in _PLAIN.finditer(text):
         ws = m.group().lower().split()

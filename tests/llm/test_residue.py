@@ -87,3 +87,37 @@ def test_documents_of_boilerplate_alone_are_searched_whole(spark):
     docs = [(i, "a", f"{head}\nStory of {chr(97 + i % 26)}{chr(97 + i // 26)}.\n{foot}") for i in range(100)] + [(1000 + i, "a", f"{head}\n\n{foot}") for i in range(40)]
     d = spark.createDataFrame(docs, "doc_id long, source string, text string")
     assert rows(residue.residue(d)) == [(1000 + i, "script") for i in range(40)]
+
+
+STORY = "It rained, and the baker moved the lamp under the roof again. "
+LOREM = "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor."
+
+
+@pytest.mark.parametrize("before", [0, 1, 5, 6, 7, 30, 3000])
+def test_filler_counts_anywhere_in_a_text(before):
+    assert residue.evidence(STORY * before + LOREM) == ["filler"]
+    assert residue.evidence(STORY * before + "\n\n" + LOREM + "\n\n" + STORY * 30) == ["filler"]
+    assert residue.evidence(STORY * before + "Lorem ipsum dolor sit amet, consectetur. Elit, sed do eiusmod.") == ["filler"]
+    assert residue.evidence(STORY * before + "\nOf the lamp | Lorem ipsum | Of the kettle | Lorem ipsum | Of the oar | Lorem ipsum") == ["filler"]
+    assert residue.evidence(STORY * before) == []
+
+
+@pytest.mark.parametrize("before", [0, 30])
+@pytest.mark.parametrize("text", [
+    'The printer set "Lorem ipsum dolor sit amet, consectetur adipiscing elit. Sed do eiusmod tempor." in lead, and the baker laughed.',
+    "Typesetters call it lorem ipsum, said the baker. The words of lorem ipsum are old. He had learned lorem ipsum from the miller.",
+    "El dolor no cesa, dijo la maestra. Un dolor como ese ya no se olvida. Dolor, dolor y más dolor. Dolor de cabeza, dolor de pie.",
+])
+def test_mentions_of_filler_are_none_anywhere(before, text):
+    assert residue.evidence(STORY * before + text) == []
+
+
+def test_filler_counts_when_words_are_near_only():
+    apart = [STORY * 7 + "\nNosce te ipsum!\n"] * 12
+    assert residue.evidence("".join(apart)) == []
+
+
+def test_late_filler_is_found_in_tables(spark):
+    docs = [(1, "a", STORY * 30 + LOREM), (2, "a", STORY * 31), (3, None, LOREM)]
+    d = spark.createDataFrame(docs, "doc_id long, source string, text string")
+    assert rows(residue.residue(d)) == [(1, "filler"), (3, "filler")]
